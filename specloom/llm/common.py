@@ -130,3 +130,72 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of True."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).view(np.int8)))
     return edge[::2], edge[1::2]
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def word_spans(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, first): words between ASCII white space; first has the number of the first word of each text, and the total."""
+    data, offsets = utf8_view(texts)
+    if lower:
+        data = _LOWER[data]
+    word = ~_SPACE[data]
+    start, end = word.copy(), word.copy()
+    start[1:] &= ~word[:-1]
+    end[:-1] &= ~word[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    start[inner] = word[inner]
+    end[inner - 1] = word[inner - 1]
+    starts = np.flatnonzero(start)
+    return data, starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
+
+
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The distinct k-word shingles of each text as sorted 64-bit hashes, words with A-Z in lower case.
+
+    A text of fewer words has its whole sequence as the one shingle, a text without words has none.
+    """
+    data, starts, ends, first = word_spans(texts)
+    h, out = hash_spans(data, starts, ends), []
+    step = np.uint64(0x9FB21C651E98DF25)
+    with np.errstate(over="ignore"):
+        s = h.copy()
+        for j in range(1, k):
+            s[: len(h) - j] = mix(s[: len(h) - j] * step + h[j:])
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if b - a >= k:
+                out.append(np.unique(s[a : b - k + 1]))
+            elif b > a:
+                one = np.uint64(b - a)
+                for x in h[a:b]:
+                    one = mix(np.array([one * step + x], np.uint64))[0]
+                out.append(np.array([one], np.uint64))
+            else:
+                out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root) of every node of edges (a, b): root is the smallest node of its connected component.
+
+    Alternating large-star and small-star steps, each two joins on the node with minima computed by partial
+    aggregates; every round is checkpointed, and the rounds grow with the logarithm of the size.
+    """
+    e = mark(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    state = None
+    for _ in range(most_rounds):
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        e = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = e.groupBy("a").agg(F.min("b").alias("m"))
+        e = e.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a != b").distinct()
+        e = mark(e)
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == state:
+            break
+        state = now
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

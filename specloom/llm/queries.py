@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specloom.llm import line_dedup, mixing, quality_rules
+from specloom.llm import line_dedup, mixing, near_dup, quality_rules, secret_scan, token_counts, token_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_mixing": mixing.op2_mixing,
+        "op5_near_dup": near_dup.op5_near_dup,
+        "op7_token_shards": token_shards.op7_token_shards,
+        "op8_secret_scan": secret_scan.op8_secret_scan,
+        "op9_token_counts": token_counts.op9_token_counts,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.ORACLE}
+    return {"op5_near_dup": near_dup.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
