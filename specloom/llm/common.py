@@ -148,12 +148,12 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_spans(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, ends, first): words between ASCII white space; first has the number of the first word of each text, and the total."""
+def word_spans(texts: pa.Array, lower: bool = True, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, first): words between bytes that break them, else ASCII white space; first has the number of the first word of each text, and the total."""
     data, offsets = utf8_view(texts)
     if lower:
         data = _LOWER[data]
-    word = ~_SPACE[data]
+    word = ~breaks[data]
     start, end = word.copy(), word.copy()
     start[1:] &= ~word[:-1]
     end[:-1] &= ~word[1:]

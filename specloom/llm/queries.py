@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specloom.llm import line_dedup, mixing, near_dup, quality_rules, secret_scan, token_counts, token_shards
+from specloom.llm import decontamination, line_dedup, mixing, near_dup, quality_rules, secret_scan, suffix_dedup, token_counts, token_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_mixing": mixing.op2_mixing,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+        "op4_decontamination": decontamination.op4_decontamination,
         "op5_near_dup": near_dup.op5_near_dup,
         "op7_token_shards": token_shards.op7_token_shards,
         "op8_secret_scan": secret_scan.op8_secret_scan,
