@@ -46,8 +46,8 @@ def apportion(votes: DataFrame, keys: list[str], unit: Column, seats: str) -> Da
     """
     group = Window.partitionBy(*keys)
     v = votes.withColumns({"u": unit, "sum_v": F.sum("v").over(group), "k": F.count("*").over(group)})
-    low = F.greatest(F.lit(0.0), F.ceil(F.col("v") * (F.col(seats) - F.col("k") / 2 - 1) / F.col("sum_v") - 0.5))
-    high = F.ceil(F.col("v") * (F.col(seats) + F.col("k") / 2 + 1) / F.col("sum_v") + 0.5)
+    low = F.greatest(F.lit(0.0), F.ceil(F.try_divide(F.col("v") * (F.col(seats) - F.col("k") / 2 - 1), F.col("sum_v")) - 0.5))
+    high = F.ceil(F.try_divide(F.col("v") * (F.col(seats) + F.col("k") / 2 + 1), F.col("sum_v")) + 0.5)
     v = v.withColumns({"q0": F.least(F.coalesce(low, F.lit(0.0)).cast("long"), F.col("cap")), "q1": F.least(F.coalesce(high, F.lit(0.0)).cast("long"), F.col("cap"))})
     v = v.withColumn("open", F.col(seats) - F.sum("q0").over(group))
     more = v.where(F.col("q1") > F.col("q0")).select(*keys, "u", "open", "v", F.explode(F.sequence("q0", F.col("q1") - 1)).alias("q"))

@@ -344,7 +344,7 @@ def test_op9(spark, rows):
     want = []
     for i, t, _, _ in rows:
         w = WORDS.findall(t or "")
-        want.append((i, len(w), sum(best(token_counts.SPACE + x) for x in w) if len(w) < 500 and len(t) < 4000 else None))
+        want.append((i, len(w), sum(best(token_counts.SPACE + x) for x in w) if len(w) < 500 and len(t or "") < 4000 else None))
     out = got(token_counts.token_counts(frame(spark, rows)), "doc_id", "n_words", "n_tokens")
     for a, b in zip(out, sorted(want, key=str), strict=True):
         assert a[:2] == b[:2] and (b[2] is None or a[2] == b[2])
