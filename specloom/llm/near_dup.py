@@ -82,8 +82,9 @@ def near_dup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     1. Documents with equal sets form a class, found by a partial aggregate over digests; its smallest id
        stands for it, so copies never meet in pairs.
-    2. Min-max hash bands deal the classes into buckets. Each bucket's smallest id is its centre, and each
-       member is compared with the centre alone.
+    2. Min-max hash bands deal the classes into buckets. Each bucket draws a member as its centre, and each
+       other member is compared with the centre alone. Every bucket draws anew, so a document of a large group
+       of varied copies meets as many different members as it has bands, and the group comes together.
     3. Where the confirmed links leave a bucket in several components, members outside the centre's are
        compared with all members of other components: no link between candidates is lost, and a bucket of
        copies that are alike costs no more than its size.
@@ -95,10 +96,11 @@ def near_dup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     full = features.where("set_id is not null and doc_id is not null")
     classes = full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = classes.select("rep", "n", F.explode("bands").alias("key"))
-    centres = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).where("size > 1")
+    drawn = F.struct(F.xxhash64("key", "rep").alias("order"), "rep", "n")
+    centres = members.groupBy("key").agg(F.min(drawn).alias("c"), F.count("*").alias("size")).where("size > 1")
     shared = cut(members.join(centres.select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n")), "key"), "near-dup-buckets")
     fits = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
-    stars = shared.where(F.col("rep") != F.col("centre")).where(fits(F.col("n"), F.col("centre_n"))).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = shared.where(F.col("rep") != F.col("centre")).where(fits(F.col("n"), F.col("centre_n"))).select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
     links = _confirmed(stars, texts, k, percent)
     root = components(links)
     seen = shared.join(root.select(F.col("node").alias("rep"), F.col("root").alias("r")), "rep", "left").select("key", "rep", "n", "centre", F.coalesce("r", "rep").alias("root"))
