@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specloom.llm.column_bwt import repeated
-from specloom.llm.common import cut, documents, limit_batches, runs, utf8_view
+from specloom.llm.common import cut, documents, hash_spans, limit_batches, runs, utf8_view
 from specloom.llm.winnow import anchors, gram_hashes
 
 WINDOW, GRAM = 200, 64
@@ -52,6 +53,44 @@ def _spans(found: list[np.ndarray], h: list[int], g: list[int], window: int) ->
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["h", "g", "from", "to"])
 
 
+def starts_repeated(strings: list[bytes], weights: np.ndarray, groups: list[int], window: int) -> list[np.ndarray]:
+    """For each string, which window starts hold a string that also starts elsewhere in its group, by the ordered suffixes.
+
+    Digests of windows say first what may be equal, and nothing equal is passed over: strings are cut to where
+    such windows lie and equal cuts become one string with their weights' sum. What no other string of the
+    group differs from needs no order; over the rest the transform is built.
+    """
+    n = np.array([max(len(x) - window + 1, 0) for x in strings], np.int64)
+    base = np.cumsum([0, *map(len, strings[:-1])])
+    owner = np.repeat(np.arange(len(strings)), n)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    place = base[owner] + at
+    digest = hash_spans(np.frombuffer(b"".join(strings), np.uint8), place, place + window)
+    _, code, count = np.unique(digest, return_inverse=True, return_counts=True)
+    lone = np.bincount(code, weights[owner] == 1) > 0
+    open_ = np.flatnonzero((count > 1)[code] & lone[code])
+    who, first = np.unique(owner[open_], return_index=True)
+    last = np.append(first[1:], len(open_)) - 1
+    out = [np.full(k, w > 1) for k, w in zip(n, weights, strict=True)]
+    cuts: dict[tuple[int, bytes], int] = {}
+    total: list[int] = []
+    mine = []
+    for i, a, z in zip(who.tolist(), at[open_[first]].tolist(), at[open_[last]].tolist(), strict=True):
+        k = cuts.setdefault((groups[i], strings[i][a : z + window]), len(total))
+        if k == len(total):
+            total.append(0)
+        total[k] += int(weights[i])
+        mine.append((i, a, k))
+    alone = Counter(g for g, _ in cuts)
+    texts = list(cuts)
+    order = [k for k, (g, _) in enumerate(texts) if alone[g] > 1 or total[k] == 1]
+    masks = dict(zip(order, repeated([texts[k][1] for k in order], np.array([total[k] for k in order], np.int64), window), strict=True))
+    for i, a, k in mine:
+        mask = masks.get(k, np.ones(len(texts[k][1]) - window + 1, bool))
+        out[i][a : a + len(mask)] |= mask
+    return out
+
+
 def _transforms(batches: Iterator[pa.RecordBatch], window: int, least: int) -> Iterator[pa.RecordBatch]:
     """Whole groups of one h, which come in order, are put together until there are `least` strings."""
     h: list[int] = []
@@ -60,7 +99,7 @@ def _transforms(batches: Iterator[pa.RecordBatch], window: int, least: int) -> I
     s: list[bytes] = []
 
     def done(n: int) -> pa.RecordBatch:
-        out = _spans(repeated(s[:n], np.array(w[:n], np.int64), window), h[:n], g[:n], window)
+        out = _spans(starts_repeated(s[:n], np.array(w[:n], np.int64), h[:n], window), h[:n], g[:n], window)
         for x in (h, g, w, s):
             del x[:n]
         return out
