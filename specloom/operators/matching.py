@@ -109,7 +109,7 @@ def ann_match(scores: DataFrame, rerank: DataFrame | None = None, keys: list[str
 def label_candidates(matched: DataFrame, pool: DataFrame, confidence: Column) -> DataFrame:
     """(product_id, attr_idx, seq, value, unit, confidence, method, url, title, raw_value) of all pool rows with a matched label."""
     p = with_label_unit(pool)
-    rows = matched.join(p, (matched["product_id"] == p["product_id"]) & (matched["label"] == p["name"])).drop(p["product_id"])
+    rows = matched.join(p.withColumnRenamed("name", "label"), ["product_id", "label"])
     return rows.select("product_id", "attr_idx", "seq", F.col("full_value").alias("value"), F.lit(None).cast("string").alias("unit"), confidence.alias("confidence"), F.lit("css_selector").alias("method"), "url", "title", F.col("full_value").alias("raw_value"))
 
 
