@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ END_ID = 1
 #: A row of a shard closes when it holds this many ids; one document is never split.
 SEGMENT_IDS = 1 << 20
 #: Distinct words whose ids a worker remembers; it forgets all of them when there are more.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 700_000
 SHARD_SCHEMA = "shard int, seg int, n_docs int, n_ids long, doc_ids binary, no_id binary, lengths binary, planes binary"
 
 
@@ -29,13 +30,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters, then marks which never join them in a pre-token; nothing here changes its class in lower case or by composition.
+_PLAIN = re.compile(r"[a-zA-ZÀ-ÖØ-öø-ÿ]+([.,!?;:*&%$#|]*)")
+#: New words that are encoded in one text.
+JOINED = 1000
+
+
 class WordEncoder:
     """Encodes texts word by word, each distinct word once.
 
     The tokenizer cuts its pre-tokens at white space and nothing in its normalizer crosses it, so a text's ids
-    are those of its words one after the other. New words that are letters only go to the library in one
-    joined text: each gives one pre-token, whose last piece is a word end; where the count of ends differs
-    from the count of words, they are encoded one by one.
+    are those of its words one after the other. New words that are letters, or letters and a few marks after
+    them, go to the library in joined texts: they give one or two pre-tokens, and the last piece of each is a
+    word end; where the count of ends is not what it should be, they are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -52,31 +59,35 @@ class WordEncoder:
         self.slots: dict[str, int] = {}
         self.start, self.length, self.flat, self.used, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint16), 0, 0
 
-    def _add(self, words: list[str]) -> None:
-        plain, single = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
-        found: list[tuple[str, np.ndarray]] = []
-        for k in range(0, len(plain), 256):
-            part = plain[k : k + 256]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint16)
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) == len(part):
-                found += zip(part, np.split(ids, ends[:-1]), strict=True)
-            else:
-                single += part
-        found += zip(single, (np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch(single, add_special_tokens=False)), strict=True)
-        n, total = len(found), sum(len(x) for _, x in found)
+    def _append(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, total = len(words), len(ids)
         while self.used + n > len(self.start):
             self.start, self.length = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.length, np.zeros_like(self.length)])
         while self.size + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        lengths = np.array([len(x) for _, x in found], np.int64)
+        self.flat[self.size : self.size + total] = ids
         self.length[self.used : self.used + n] = lengths
         self.start[self.used : self.used + n] = self.size + np.cumsum(lengths) - lengths
-        if total:
-            self.flat[self.size : self.size + total] = np.concatenate([x for _, x in found])
-        self.slots.update((w, self.used + i) for i, (w, _) in enumerate(found))
+        self.slots.update(zip(words, range(self.used, self.used + n), strict=True))
         self.used, self.size = self.used + n, self.size + total
 
+    def _add(self, words: list[str]) -> None:
+        ends = [0 if not m else 2 if m[1] else 1 for m in map(_PLAIN.fullmatch, words)]
+        plain, pre = [w for w, n in zip(words, ends, strict=True) if n], np.array([n for n in ends if n], np.int64)
+        single = [w for w, n in zip(words, ends, strict=True) if not n]
+        parts = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+        for k, (part, e) in enumerate(zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True)):
+            ids, want = np.array(e.ids, np.uint16), np.cumsum(pre[k * JOINED : (k + 1) * JOINED])
+            found = np.flatnonzero(self.is_end[ids]) + 1
+            if len(found) == want[-1]:
+                self._append(part, ids, np.diff(found[want - 1], prepend=0))
+            else:
+                single += part
+        for k in range(0, len(single), 4096):
+            part = single[k : k + 4096]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._append(part, np.array([i for x in lists for i in x], np.uint16), np.array([len(x) for x in lists], np.int64))
+
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids of each text); with end_id after each text."""
         if self.used > CACHED_WORDS:
