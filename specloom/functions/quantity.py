@@ -63,7 +63,7 @@ _UNIT = re.compile(rf"[{_LETTER}µ°″℃\"](?:[{_LETTER}µ°″\"²/·.()0-9]*
 #: Lower ends of ranges: "20 - 145", "20 - max. 145".
 _LOW = re.compile(r"(?<![\d.,])-?\d+(?:[.,]\d+)?\s*[-–—…]\s*(?:макс\.?|max\.?|до)?\s*(?=\d)", re.I)
 _GROUPS = re.compile(r"(?<=\d)(?:[\s   ](?=\d{3}(?:\D|$))|,(?=\d{3}(?:[^\d,]|$)))")
-PAIRS = T.ArrayType(T.StructType([T.StructField("num", T.DoubleType()), T.StructField("unit", T.StringType())]))
+PAIRS = T.ArrayType(T.StructType([T.StructField("num", T.DoubleType()), T.StructField("unit", T.StringType()), T.StructField("dim", T.StringType()), T.StructField("factor", T.DoubleType())]))
 
 
 def canonical(unit: str) -> str:
@@ -93,7 +93,7 @@ def scan(text: str | None) -> list[tuple[float, str | None]]:
 
 @F.pandas_udf(PAIRS)
 def number_units(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: [{"num": n, "unit": u} for n, u in scan(t)])
+    return s.map(lambda t: [dict(zip(("num", "unit", "dim", "factor"), (n, u, *UNITS.get(u, (None, None))), strict=True)) for n, u in scan(t)])
 
 
 def _table(pairs: dict[str, object]) -> Column:
@@ -141,8 +141,8 @@ def to_number(pairs: Column, target: Column) -> Column:
     """struct(value, unit, confidence): converted from the first figure of the target's dimension (0.92), else the first figure as it is (0.6), or 0.85 without a known target."""
     unit = canonical_unit(target)
     dim, first = dimension(unit), F.get(pairs, 0)
-    same = F.get(F.filter(pairs, lambda p: p["unit"].isNotNull() & (dimension(p["unit"]) == dim)), 0)
+    same = F.get(F.filter(pairs, lambda p: p["dim"] == dim), 0)
     out = lambda v, u, c: F.struct(v.alias("value"), u.alias("unit"), F.lit(c).alias("confidence"))
-    converted = out(render(same["num"] * factor(same["unit"]) / factor(unit)), target, 0.92)
+    converted = out(render(same["num"] * same["factor"] / factor(unit)), target, 0.92)
     assumed, plain = out(render(first["num"]), target, 0.6), out(render(first["num"]), first["unit"], 0.85)
     return F.when(F.size(pairs) > 0, F.when(dim.isNotNull() & same.isNotNull(), converted).when(dim.isNotNull(), assumed).otherwise(plain))
