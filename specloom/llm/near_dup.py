@@ -16,6 +16,7 @@ from specloom.llm.common import components, cut, documents, limit_batches, mix,
 #: agree with probability 0.17, so that a pair shares none of 64 bands with probability 8e-6; at 0.2, which long
 #: texts of one language reach, they agree with 3e-6.
 BANDS, PER_BAND = 64, 4
+HUB_ROUNDS = 2
 FEATURES = "doc_id long, n_shingles long, set_id binary, bands array<long>"
 
 
@@ -72,6 +73,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return cut(both.where(100 * F.col("inter") >= percent * (F.col("sum") - F.col("inter"))).select("a", "b").distinct(), "near-dup-links")
 
 
+def _open(rows: DataFrame, root: DataFrame) -> DataFrame:
+    """(key, rep, n, root) of the buckets whose members are in several components so far."""
+    at = rows.join(root.select(F.col("node").alias("rep"), F.col("root").alias("r")), "rep", "left").select("key", "rep", "n", F.coalesce("r", "rep").alias("root"))
+    several = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    return at.join(several, "key")
+
+
 def near_dup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Return (doc_id, n_shingles, component_id, kept), one row for each row of docs.
 
@@ -85,10 +93,11 @@ def near_dup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     2. Min-max hash bands deal the classes into buckets. Each bucket draws a member as its centre, and each
        other member is compared with the centre alone. Every bucket draws anew, so a document of a large group
        of varied copies meets as many different members as it has bands, and the group comes together.
-    3. Where the confirmed links leave a bucket in several components, members outside the centre's are
-       compared with all members of other components: no link between candidates is lost, and a bucket of
-       copies that are alike costs no more than its size.
-    4. Components of the links, over classes and then documents.
+    3. In buckets that the confirmed links leave in several components, the member of most links so far, such
+       as the text that others were varied from, is the next centre, HUB_ROUNDS times.
+    4. What is still apart then is compared with all members of other components, but for those of the
+       largest: no link between candidates is lost, and a bucket of texts that are alike costs its size.
+    5. Components of the links, over classes and then documents.
     """
     limit_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -102,12 +111,21 @@ def near_dup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     fits = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
     stars = shared.where(F.col("rep") != F.col("centre")).where(fits(F.col("n"), F.col("centre_n"))).select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
     links = _confirmed(stars, texts, k, percent)
-    root = components(links)
-    seen = shared.join(root.select(F.col("node").alias("rep"), F.col("root").alias("r")), "rep", "left").select("key", "rep", "n", "centre", F.coalesce("r", "rep").alias("root"))
-    seen = seen.join(root.select(F.col("node").alias("centre"), F.col("root").alias("r")), "centre", "left").select("key", "rep", "n", "centre", "root", F.coalesce("r", "centre").alias("main"))
-    seen = cut(seen, "near-dup-seen")
+    rows = shared.select("key", "rep", "n")
+    for _ in range(HUB_ROUNDS):
+        rows = cut(_open(rows, components(links)), "near-dup-open")
+        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+        ranked = rows.join(degree, "rep", "left").select("key", "rep", "n", "root", F.coalesce("degree", F.lit(0)).alias("degree"))
+        hubs = ranked.groupBy("key").agg(F.max_by(F.struct("rep", "n", "root"), F.struct("degree", -F.col("rep"))).alias("hub"))
+        met = rows.join(hubs, "key").where(F.col("root") != F.col("hub.root")).where(fits(F.col("n"), F.col("hub.n")))
+        met = met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+        links = cut(links.unionByName(_confirmed(met, texts, k, percent)).distinct(), "near-dup-links")
+        rows = rows.select("key", "rep", "n")
+    seen = _open(rows, components(links))
+    sizes = seen.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", -F.col("root"))).alias("main"))
+    seen = cut(seen.join(sizes, "key"), "near-dup-seen")
     outside = seen.where("root != main").select("key", "rep", "n", "root")
-    cross = outside.alias("x").join(seen.where("rep != centre").alias("y"), "key").where("x.root != y.root and (y.root = y.main or x.rep < y.rep)").where(fits(F.col("x.n"), F.col("y.n")))
+    cross = outside.alias("x").join(seen.alias("y"), "key").where("x.root != y.root and (y.root = y.main or x.rep < y.rep)").where(fits(F.col("x.n"), F.col("y.n")))
     cross = cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     more = _confirmed(cross, texts, k, percent)
     several = full.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x != y").select("doc_id")
