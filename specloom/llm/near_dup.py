@@ -107,7 +107,7 @@ def near_dup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     members = classes.select("rep", "n", F.explode("bands").alias("key"))
     drawn = F.struct(F.xxhash64("key", "rep").alias("order"), "rep", "n")
     centres = members.groupBy("key").agg(F.min(drawn).alias("c"), F.count("*").alias("size")).where("size > 1")
-    shared = cut(members.join(centres.select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n")), "key"), "near-dup-buckets")
+    shared = cut(members.hint("merge").join(centres.select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n")), "key"), "near-dup-buckets")
     fits = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
     stars = shared.where(F.col("rep") != F.col("centre")).where(fits(F.col("n"), F.col("centre_n"))).select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
     links = _confirmed(stars, texts, k, percent)
