@@ -143,8 +143,8 @@ def test_rate_limit_stream(spark, tmp_path):
     hits = spark.createDataFrame([("u", i, float(t)) for i, t in enumerate((0, 10, 20, 61))], "client string, event_id long, ts double")
     hits.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(hits.schema).parquet(str(tmp_path / "in"))
-    q = stateful.rate_limit_stream(stream, 2, 60.0).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
-    q.processAllAvailable()
+    q = stateful.rate_limit_stream(stream, 2, 60.0).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
     q.stop()
     assert [r.allowed for r in spark.sql("select * from limited order by event_id").collect()] == [True, True, False, True]
 
