@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specloom.llm.common import cut, documents, hash_spans, limit_batches, mix, word_spans
@@ -15,9 +15,8 @@ from specloom.llm.common import cut, documents, hash_spans, limit_batches, mix,
 #: Tokens are runs of letters and digits; all bytes beyond ASCII count as letters.
 _BREAKS = np.ones(256, bool)
 _BREAKS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
+#: Every n-gram of an item is a seed: which ones an edited copy keeps cannot be told from other documents.
 SEED_TOKENS = 3
-#: Seeds are the KEPT rarest of each BLOCK consecutive n-grams of an item, so every part of it has some.
-BLOCK, KEPT = 6, 3
 #: Longer items are aligned part by part; shorter ones than LEAST tokens are no evidence.
 SEGMENT, STRIDE, LEAST = 64, 32, 8
 #: Tokens by which an alignment may leave the diagonal of its seed.
@@ -29,6 +28,8 @@ MIN_SCORE = 0.5
 FILTER_BITS = 1 << 24
 #: Seeds up to which their table is broadcast, about 400 bytes each; beyond it the join shuffles.
 BROADCAST_SEEDS = 100_000
+#: Hits that leave the scan of the documents at once, about 1.3 kB each.
+HITS = 4096
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,28 +82,21 @@ def _passing(g: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.flatnonzero(bits[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1))
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        g, text, _ = grams(*tokens(b.column("text")))
-        i = _passing(g, bits)
-        pairs = np.unique(np.rec.fromarrays([g[i], text[i]])) if len(i) else np.rec.fromarrays([g[i], text[i]])
-        h, n = np.unique(pairs["f0"], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
-
-
 def _hits(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(h, doc_id, row, at, base, around): a seed's place in its text, and the tokens around it from base on."""
     for b in batches:
         h, first = tokens(b.column("text"))
         g, text, at = grams(h, first)
-        i = _passing(g, bits)
-        text, at = text[i], at[i]
-        lo, hi = np.maximum(first[text], at - SEGMENT - SLACK), np.minimum(first[text + 1], at + SEGMENT + SLACK)
-        n = hi - lo
-        flat = h[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].view(np.int64)
-        around = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
-        cols = [pa.array(g[i].view(np.int64)), b.column("doc_id").take(pa.array(text)), pa.array((at - first[text]).astype(np.int32)), pa.array((lo - first[text]).astype(np.int32)), around]
-        yield pa.RecordBatch.from_arrays(cols, ["h", "doc_id", "place", "base", "around"])
+        passing = _passing(g, bits)
+        for k in range(0, len(passing), HITS):
+            i = passing[k : k + HITS]
+            t, p = text[i], at[i]
+            lo, hi = np.maximum(first[t], p - SEGMENT - SLACK), np.minimum(first[t + 1], p + SEGMENT + SLACK)
+            n = hi - lo
+            flat = h[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].view(np.int64)
+            around = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
+            cols = [pa.array(g[i].view(np.int64)), b.column("doc_id").take(pa.array(t)), pa.array((p - first[t]).astype(np.int32)), pa.array((lo - first[t]).astype(np.int32)), around]
+            yield pa.RecordBatch.from_arrays(cols, ["h", "doc_id", "place", "base", "around"])
 
 
 def align(items: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,8 +145,12 @@ def _scored(batches: Iterator[pa.RecordBatch], min_score: float) -> Iterator[pa.
                 s = max(0, place - at - SLACK - lo)
                 near.append(np.array(around[s : place - at + len(item) + SLACK - lo], np.int64))
                 base.append(lo + s)
-            best, end = align(_padded(items, -1), _padded(near, -2))
             full = np.array([MATCH * len(x) for x in items])
+            left, right = _padded(items, -1), _padded(near, -2)
+            # no alignment scores more than all the item's tokens that stand in the passage at all
+            able = np.flatnonzero(MATCH * (left[:, :, None] == right[:, None, :]).any(2).sum(1) >= min_score * full)
+            best, end = np.zeros(len(full), np.int32), np.zeros(len(full), np.int64)
+            best[able], end[able] = align(left[able], right[able])
             good = np.flatnonzero(best >= min_score * full)
             if len(good):
                 _, tail = align(_padded([items[i][::-1] for i in good], -1), _padded([near[i][: end[i]][::-1] for i in good], -2))
@@ -171,21 +169,18 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, min_score: float = MI
     tokens, null texts and empty texts match nothing; repeated rows of a document or an item give one row;
     a null doc_id is a document like others. Other columns are ignored.
 
-    The documents are scanned twice. The first scan counts in how many of them each n-gram of the items
-    stands, over all documents, with one partial count a batch; the rarest of each block of an item's n-grams
-    are its seeds, however often they stand, so a widely copied item keeps its seeds. The second scan finds
-    the seeds with the tokens around them, so that no text is shuffled. Both carry a filter of 2 MB at most.
+    Every n-gram of an item is a seed, so whether a document is found depends on it and the item alone: a
+    passage that shares SEED_TOKENS tokens in a row with the item is aligned. One that shares none, such as a
+    copy with every third word replaced, is not found, though it may score a little over 0.5.
+    One scan of the documents, with a filter of 2 MB at most, finds the seeds with the tokens around them, so
+    that no text is shuffled. What an item's tokens in a passage cannot bring to min_score is not aligned.
     The seeds are joined by broadcast up to BROADCAST_SEEDS rows, else by a shuffle that skew can split.
     """
     spark = docs.sparkSession
     limit_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    parts = cut(items.mapInArrow(_items, "item_id long, seg int, at int, h long, tokens array<long>"), "decontam-items")
-    bits = _filter(parts.select("h"))
-    counted = rows.select("text").mapInArrow(lambda it: _frequencies(it, bits), "h long, n long").groupBy("h").agg(F.sum("n").alias("df"))
-    rare = Window.partitionBy("item_id", "seg", (F.col("at") / BLOCK).cast("int")).orderBy("df", "at")
-    seeds = cut(parts.join(counted, "h").withColumn("r", F.row_number().over(rare)).where(F.col("r") <= KEPT).drop("r", "df"), "decontam-seeds")
+    seeds = cut(items.mapInArrow(_items, "item_id long, seg int, at int, h long, tokens array<long>"), "decontam-seeds")
     chosen = _filter(seeds.select("h"))
     found = rows.mapInArrow(lambda it: _hits(it, chosen), "h long, doc_id long, place int, base int, around array<long>")
     few = seeds.count() <= BROADCAST_SEEDS

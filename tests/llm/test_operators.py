@@ -183,6 +183,19 @@ def test_op4(spark):
     assert {(r.doc_id, r.item_id) for r in out.collect()} == leaks
 
 
+def test_op4_edited_copy_beside_a_verbatim_one(spark):
+    rng = random.Random(12)
+    items = [(k, sentence(rng, n, "abcdefghij")) for k, n in enumerate((16, 30, 59))]
+    docs, leaks = [(i, sentence(rng, 150, "klmnopqrst"), "en", "a") for i in range(20)], set()
+    for k, item in items:
+        edited = " ".join("edited" if j % 4 == 3 else x for j, x in enumerate(item.split()))
+        docs += [(100 + k, f"{docs[0][1]} {item} {docs[1][1]}", "en", "a"), (200 + k, f"{docs[2][1]} {edited} {docs[3][1]}", "en", "a")]
+        leaks |= {(100 + k, k), (200 + k, k)}
+    out = decontamination.decontamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == leaks
+    assert all(r.score == 1 if r.doc_id < 200 else 0.5 <= r.score < 0.7 for r in out)
+
+
 def test_alignment_against_plain_matrix():
     rng = random.Random(7)
     for _ in range(40):
