@@ -14,8 +14,8 @@ from specloom.llm.common import cut, documents, hash_spans, limit_batches, utf8_
 
 #: Bytes of a passage; the last one of a text is shorter.
 PASSAGE = 400
-#: Labelled documents of each class that the model is trained on, and passages of each that take part.
-TRAIN_DOCS, TRAIN_PASSAGES = 1500, 64
+#: Labelled documents of each class that the model is trained on, with all their passages.
+TRAIN_DOCS = 1500
 HIDDEN, GATE, STEPS, RATE = 16, 8, 200, 0.03
 #: Score from which a document is predicted to have label 1.
 THRESHOLD = 0.3
@@ -127,7 +127,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x, per = passage_features(b.column("text"))
         at = np.cumsum(per) - per
-        bags = [x[a : a + min(n, TRAIN_PASSAGES)].tobytes() for a, n in zip(at.tolist(), per.tolist(), strict=True)]
+        bags = [x[a : a + n].tobytes() for a, n in zip(at.tolist(), per.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(bags, pa.binary())], ["doc_id", "quality", "bag"])
 
 
@@ -170,8 +170,8 @@ def attention_quality(docs: DataFrame, labels: DataFrame, threshold: float = THR
     Null and empty texts are one passage without bytes. Without labels of both classes the score is the share
     of label 1, or 0.5. A null id counts as the empty text for held_out. Other columns are ignored.
 
-    The model is some hundred numbers, trained on the driver from 2 * TRAIN_DOCS documents of TRAIN_PASSAGES
-    passages at most; scoring shuffles nothing.
+    The model is some hundred numbers, trained on the driver from all passages of 2 * TRAIN_DOCS documents at
+    most, about 180 bytes for each 400 of their text; scoring shuffles nothing.
     """
     limit_batches(docs.sparkSession)
     model = fit(docs, labels)

@@ -274,6 +274,20 @@ def test_op6(spark, rows):
     assert {r.score for r in none} == {0.5}
 
 
+def test_op6_learns_from_late_passages(spark):
+    rng = random.Random(13)
+    plain = sentence(rng, 6000)
+    docs = []
+    for i in range(60):
+        late = sentence(rng, 800).split()
+        docs.append((i, f"{plain} {' '.join(late if i % 2 else [f'{w}$$' for w in late])}", "en", "a"))
+    assert len(plain) > 64 * attention_quality.PASSAGE
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    held = [r for r in attention_quality.attention_quality(frame(spark, docs), labels).collect() if r.held_out]
+    assert {r.doc_id % 2 for r in held} == {0, 1}
+    assert all(r.predicted == r.doc_id % 2 for r in held)
+
+
 def test_op6_gradient():
     rng = np.random.default_rng(0)
     x, per = rng.normal(size=(9, attention_quality.FEATURES)), np.array([2, 3, 4])
