@@ -71,11 +71,11 @@ def known(s: str) -> bool:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, str]], enc: object, most_ratio: float = MOST_RATIO) -> list[tuple[int, int, str]]:
-    """(start, end, "random") of candidates with a digit and a letter, unknown and outside taken, at most most_ratio characters a token."""
+    """(start, end, "random") of candidates with a letter, unknown and outside taken, at most most_ratio characters a token."""
     out = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s) or known(s):
+        if not any(c.isalpha() for c in s) or known(s):
             continue
         if any(a < m.end() and m.start() < b for a, b, _ in taken):
             continue
@@ -101,8 +101,8 @@ def secret_scan(docs: DataFrame, vocabulary: str | None = None, most_ratio: floa
 
     spans lists kind:start:end by start, then kind in the order of KINDS, in code points with exclusive ends;
     base_sha256 digests the same list of the base kinds only. A random span is a run of 20 or more characters
-    with letters and digits, none of the known digests and identifiers, outside all base spans, that needs a
-    token for every most_ratio characters or fewer. Null and empty texts have no spans; repeated rows are
+    with a letter, none of the known digests and identifiers, outside all base spans, that needs a token for
+    every most_ratio characters or fewer; letters of one case alone are identifiers. Null and empty texts have no spans; repeated rows are
     scanned as often as they come; other columns are ignored. Rows never meet, so nothing is shuffled.
     """
     limit_batches(docs.sparkSession)

@@ -355,6 +355,17 @@ def test_op8(spark, rows):
     assert out[903].spans == out[904].spans == ""
 
 
+def test_op8_random_letters_without_a_digit(spark):
+    rng = random.Random(14)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = [f"key {''.join(rng.choice(letters) for _ in range(n))} here" for n in (20, 24, 32, 40) for _ in range(5)]
+    names = ["getAttributeServiceFactoryInstance", "a_long_identifier_name_of_words", "Some/Path/To/A/Source/File", "MAXIMUM_NUMBER_OF_RETRIES", "internationalization"]
+    docs = [(i, x, "", "") for i, x in enumerate(texts + [f"key {x} here" for x in names])]
+    out = {r.doc_id: r.spans for r in secret_scan.secret_scan(frame(spark, docs)).collect()}
+    assert [out[i] for i in range(len(texts))] == [f"random:4:{len(x) - 5}" for x in texts]
+    assert not any(out[i] for i in range(len(texts), len(docs)))
+
+
 def test_op9(spark, rows):
     scores = token_counts.unigram_scores(token_counts.default_vocabulary())
 
