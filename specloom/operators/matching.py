@@ -149,11 +149,23 @@ def answer_candidates(attrs: DataFrame, answers: DataFrame) -> DataFrame:
     return j.where(told).select("product_id", "attr_idx", F.col("pos").alias("seq"), F.col("answer").alias("value"), F.lit(0.70).alias("confidence"), F.lit("infobox").alias("method"))
 
 
+def _places(text: Column, term: Column) -> Column:
+    """First characters, from 1 on, of all places of term in text that do not overlap."""
+    between = F.split(text, F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
+    step = lambda s, x: F.struct((s["end"] + F.length(x) + F.length(term)).alias("end"), F.concat(s["at"], F.array(s["end"] + F.length(x) + 1)).alias("at"))
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at"))
+    return F.aggregate(F.slice(between, F.lit(1), F.size(between) - 1), none, step)["at"]
+
+
 def focused_text(text: Column, attribute: Column, window: int = 2500) -> Column:
-    """The window around a mention of the attribute that has most digits, the first of equals; else the last 5000 characters."""
+    """The window around a mention of the attribute that has most digits, the first of equals; else the last 5000 characters.
+
+    Mentions are all places of the attribute, then those of its words of more than 3 characters.
+    """
     low = F.lower(text)
     terms = F.array_distinct(F.concat(F.array(F.lower(attribute)), F.filter(F.split(F.lower(attribute), r"\s+"), lambda t: F.length(t) > 3)))
-    chunk = lambda i: F.substring(text, F.greatest(F.lit(1), i - window // 2), F.lit(window))
-    hits = F.filter(F.transform(terms, lambda t: F.instr(low, t)), lambda i: i > 0)
-    scored = F.transform(hits, lambda i: F.struct((-F.length(F.regexp_replace(chunk(i), r"\D", ""))).alias("n"), i.alias("i")))
+    start = lambda i: F.greatest(F.lit(1), i - window // 2)
+    chunk = lambda i: F.substring(text, start(i), i + window // 2 - start(i))
+    hits = F.flatten(F.transform(F.filter(terms, lambda t: t != ""), lambda t: _places(low, t)))
+    scored = F.transform(hits, lambda i, k: F.struct((-F.length(F.regexp_replace(chunk(i), r"\D", ""))).alias("n"), k.alias("k"), i.alias("i")))
     return F.when(F.size(hits) > 0, chunk(F.array_min(scored)["i"])).otherwise(F.right(text, F.lit(5000)))

@@ -125,6 +125,33 @@ def test_synonyms(spark):
     assert {(r.attr_idx, r.label) for r in matching.synonym_labels(attrs, labels).collect()} == {(0, "Update frequency"), (1, "Curved screen")}
 
 
+def test_focused_text(spark):
+    def plain(s, attribute, window=2500):
+        best, most = None, -1
+        for k in [attribute.lower(), *(t for t in attribute.lower().split() if len(t) > 3)]:
+            i = s.lower().find(k)
+            while i >= 0:
+                chunk = s[max(0, i - window // 2) : i + window // 2]
+                if sum(c.isdigit() for c in chunk) > most:
+                    best, most = chunk, sum(c.isdigit() for c in chunk)
+                i = s.lower().find(k, i + len(k))
+        return best if best is not None else s[-5000:]
+
+    filler = "words without figures " * 300
+    cases = [
+        (f"Menu: Weight, Size. {filler} Weight: 12.5 kg, 1400 rpm. {filler}", "Weight"),
+        (f"{filler} max. \\Q(weight)\\E 1 {filler} Max. \\Q(weight)\\E 2345 {filler}", "max. \\Q(weight)\\E"),
+        (f"Вага {filler} нетто вага 77 {filler} ВАГА", "вага нетто"),
+        (f"aaaaaaa {filler} aaaa 5", "aaaa"),
+        (f"size {filler} none {filler}", "absent"),
+        ("weight", "weight"),
+        ("", "weight"),
+    ]
+    got = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, s string, a string").select("i", matching.focused_text(F.col("s"), F.col("a")).alias("c"))
+    assert {r.i: r.c for r in got.collect()} == {i: plain(*c) for i, c in enumerate(cases)}
+    assert "1400" in plain(*cases[0])
+
+
 def test_ann_tiers(spark):
     scores = spark.createDataFrame([("a", 0, 0.95, 1), ("a", 1, 0.20, 2), ("b", 0, 0.75, 1), ("b", 1, 0.74, 2), ("c", 0, 0.80, 1), ("c", 1, 0.79, 2)], "attr string, label int, score double, place int")
     rerank = spark.createDataFrame([("c", 0, 0.15), ("c", 1, 0.95)], "attr string, label int, rerank double")
