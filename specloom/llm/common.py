@@ -6,6 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -95,32 +96,62 @@ def utf8_view(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+#: Bytes of text that are hashed at once; the tables of powers hold twice as many numbers.
+HASH_PIECE = 1 << 18
+_FACTOR, _SHIFT, _LENGTH = 0xC2B2AE3D27D4EB4F, np.uint64(0x9E37), np.uint64(0xD6E8FEB86659FD93)
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit polynomial hash of each data[start:end], mixed; equal bytes give equal hashes in any batch.
 
     Prefix sums of b[i] * M**i modulo 2**64 give every span's hash up to a power of M; multiplying by the
-    inverse power (M is odd) makes it independent of the span's place.
+    inverse power (M is odd) makes it independent of the span's place. starts ascend; spans are taken by the
+    piece they start in, and what is longer than a piece is summed piece by piece, so memory does not grow
+    with the text.
     """
-    n = len(data)
+    out = np.zeros(len(starts), np.uint64)
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(n + 1)
+        return out
+    power, inverse = _powers()
+    piece = np.asarray(starts) // HASH_PIECE
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(piece)) + 1, [len(starts)]])
     with np.errstate(over="ignore"):
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(0x9E37)) * power[:n], out=prefix[1:])
-        h = (prefix[ends] - prefix[starts]) * inverse[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-_POWERS: list[np.ndarray] = []
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            base = int(piece[lo]) * HASH_PIECE
+            s, e = starts[lo:hi] - base, ends[lo:hi] - base
+            short = e <= 2 * HASH_PIECE
+            for k in np.flatnonzero(~short).tolist():
+                out[lo + k] = _long_hash(data, base + int(s[k]), base + int(e[k]))
+            if short.all():
+                out[lo:hi] = _near_hashes(data, base, s, e, power, inverse)
+            else:
+                out[lo:hi][short] = _near_hashes(data, base, s[short], e[short], power, inverse)
+        return mix(out + (ends - starts).astype(np.uint64) * _LENGTH)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size, m = max(n, 1 << 20), 0xC2B2AE3D27D4EB4F
-        inv = pow(m, -1, 1 << 64)
-        _POWERS[:] = [_geometric(m, size), _geometric(inv, size)]
-    return _POWERS[0], _POWERS[1]
+def _near_hashes(data: np.ndarray, base: int, s: np.ndarray, e: np.ndarray, power: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    if not len(s):
+        return np.zeros(0, np.uint64)
+    part = data[base : base + int(e.max())]
+    prefix = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum((part.astype(np.uint64) + _SHIFT) * power[: len(part)], out=prefix[1:])
+    return (prefix[e] - prefix[s]) * inverse[s]
+
+
+def _long_hash(data: np.ndarray, start: int, end: int) -> np.uint64:
+    power, total, scale = _powers()[0], 0, 1
+    step = pow(_FACTOR, HASH_PIECE, 1 << 64)
+    for a in range(start, end, HASH_PIECE):
+        part = data[a : min(end, a + HASH_PIECE)].astype(np.uint64) + _SHIFT
+        total += scale * int((part * power[: len(part)]).sum(dtype=np.uint64))
+        scale = scale * step % (1 << 64)
+    return np.uint64(total % (1 << 64))
+
+
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    size = 2 * HASH_PIECE + 1
+    return _geometric(_FACTOR, size), _geometric(pow(_FACTOR, -1, 1 << 64), size)
 
 
 def _geometric(m: int, size: int) -> np.ndarray:
