@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from specloom.llm.common import components, cut, documents, limit_batches, mix, shingle_sets
@@ -16,7 +16,8 @@ from specloom.llm.common import components, cut, documents, limit_batches, mix,
 #: agree with probability 0.17, so that a pair shares none of 64 bands with probability 8e-6; at 0.2, which long
 #: texts of one language reach, they agree with 3e-6.
 BANDS, PER_BAND = 64, 4
-HUB_ROUNDS = 2
+#: Documents named in a broadcast filter of the texts, about 32 bytes each; beyond it the texts shuffle.
+BROADCAST_IDS = 500_000
 FEATURES = "doc_id long, n_shingles long, set_id binary, bands array<long>"
 
 
@@ -59,25 +60,58 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
     for b in batches:
         sets = shingle_sets(b.column("text"), k)
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "shingles"])
+        ids = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.int64()), lists], ["rep", "s", "shingles"])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def full_sets(texts: DataFrame, nodes: DataFrame, k: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """(rep, s, shingles) of the documents of nodes (rep), one row for each different set; s names the set."""
+    nodes = cut(nodes, "near-dup-nodes")
+    few = nodes.count() <= broadcast_ids
+    nodes = nodes.select(F.col("rep").alias("doc_id"))
+    named = texts.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
+    sets = named.mapInArrow(lambda it: _sets(it, k), "rep long, s long, shingles array<long>")
+    return cut(sets.groupBy("rep", "s").agg(F.first("shingles").alias("shingles")), "near-dup-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of pairs whose full sets have 100 * intersection >= percent * union."""
-    pairs = cut(pairs, "near-dup-pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = texts.join(nodes, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, k), "doc_id long, shingles array<long>")
-    sets = cut(sets, "near-dup-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
     both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("sum"), F.size(F.array_intersect("sa", "sb")).alias("inter"))
     return cut(both.where(100 * F.col("inter") >= percent * (F.col("sum") - F.col("inter"))).select("a", "b").distinct(), "near-dup-links")
 
 
-def _open(rows: DataFrame, root: DataFrame) -> DataFrame:
-    """(key, rep, n, root) of the buckets whose members are in several components so far."""
-    at = rows.join(root.select(F.col("node").alias("rep"), F.col("root").alias("r")), "rep", "left").select("key", "rep", "n", F.coalesce("r", "rep").alias("root"))
+def _fits(m: str, n: str, percent: int) -> Column:
+    return 100 * F.least(m, n) >= percent * F.greatest(m, n)
+
+
+def _apart(rows: DataFrame, root: DataFrame) -> DataFrame:
+    """(rep, root) of the documents in buckets whose members are in several components so far."""
+    at = rows.join(root.select(F.col("node").alias("rep"), F.col("root").alias("r")), "rep", "left").select("key", "rep", F.coalesce("r", "rep").alias("root"))
     several = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    return at.join(several, "key")
+    return at.join(several, "key", "left_semi").select("rep", "root").distinct()
+
+
+def _crossing(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components among `apart` (rep, root) that can still reach percent; none that does is left out.
+
+    Each set is ordered rarest shingle first. Where two sets first agree, at places i and j from 0, they have
+    at most least(n - i, m - j) shingles in common, and for a link that has to be percent / (100 + percent) of
+    n + m. So only the first (100 - percent) in 100 shingles of a set, and one more, are compared, and copies
+    varied on their own hold there what few others hold. A shingle held by one component alone is left out,
+    and the members of the component that holds most of one are not compared with one another.
+    """
+    shingles = sets.join(apart, "rep").select("rep", "s", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
+    held = shingles.groupBy("h").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("rep", "s").orderBy("df", "h")
+    ranked = shingles.join(held, "h").withColumn("i", F.dense_rank().over(order) - 1)
+    first = cut(ranked.where(100 * F.col("i") <= (100 - percent) * F.col("n")).where("df > 1").select("h", "rep", "n", "i", "root"), "near-dup-first")
+    roots = first.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("main"), F.count("*").alias("roots"))
+    open_ = cut(first.join(roots.where("roots > 1").select("h", "main"), "h"), "near-dup-open")
+    x, y = open_.where("root != main").alias("x"), open_.alias("y")
+    met = x.join(y, "h").where("x.root != y.root and (y.root = y.main or x.rep < y.rep)").where(_fits("x.n", "y.n", percent))
+    met = met.where((100 + percent) * F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) >= percent * (F.col("x.n") + F.col("y.n")))
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def near_dup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -90,14 +124,14 @@ def near_dup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     1. Documents with equal sets form a class, found by a partial aggregate over digests; its smallest id
        stands for it, so copies never meet in pairs.
-    2. Min-max hash bands deal the classes into buckets. Each bucket draws a member as its centre, and each
-       other member is compared with the centre alone. Every bucket draws anew, so a document of a large group
-       of varied copies meets as many different members as it has bands, and the group comes together.
-    3. In buckets that the confirmed links leave in several components, the member of most links so far, such
-       as the text that others were varied from, is the next centre, HUB_ROUNDS times.
-    4. What is still apart then is compared with all members of other components, but for those of the
-       largest: no link between candidates is lost, and a bucket of texts that are alike costs its size.
-    5. Components of the links, over classes and then documents.
+    2. Min-max hash bands deal the classes into buckets. A document's weight is the sum of the sizes of its
+       buckets: the text that others were varied from meets more of them than they meet one another. The
+       member of most weight is its bucket's centre, and each other member is compared with it alone.
+    3. Documents in buckets that the confirmed links leave in several components are compared across
+       components, where the rarest of their shingles leave a link possible: no link between candidates is
+       lost, and a bucket of texts that are alike, linked or not, costs about its size.
+    4. Components of the links, over classes and then documents.
+    Each set moves once, for the documents that share a bucket.
     """
     limit_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -105,29 +139,16 @@ def near_dup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     full = features.where("set_id is not null and doc_id is not null")
     classes = full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = classes.select("rep", "n", F.explode("bands").alias("key"))
-    drawn = F.struct(F.xxhash64("key", "rep").alias("order"), "rep", "n")
-    centres = members.groupBy("key").agg(F.min(drawn).alias("c"), F.count("*").alias("size")).where("size > 1")
-    shared = cut(members.hint("merge").join(centres.select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n")), "key"), "near-dup-buckets")
-    fits = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
-    stars = shared.where(F.col("rep") != F.col("centre")).where(fits(F.col("n"), F.col("centre_n"))).select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
-    links = _confirmed(stars, texts, k, percent)
-    rows = shared.select("key", "rep", "n")
-    for _ in range(HUB_ROUNDS):
-        rows = cut(_open(rows, components(links)), "near-dup-open")
-        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-        ranked = rows.join(degree, "rep", "left").select("key", "rep", "n", "root", F.coalesce("degree", F.lit(0)).alias("degree"))
-        hubs = ranked.groupBy("key").agg(F.max_by(F.struct("rep", "n", "root"), F.struct("degree", -F.col("rep"))).alias("hub"))
-        met = rows.join(hubs, "key").where(F.col("root") != F.col("hub.root")).where(fits(F.col("n"), F.col("hub.n")))
-        met = met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-        links = cut(links.unionByName(_confirmed(met, texts, k, percent)).distinct(), "near-dup-links")
-        rows = rows.select("key", "rep", "n")
-    seen = _open(rows, components(links))
-    sizes = seen.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", -F.col("root"))).alias("main"))
-    seen = cut(seen.join(sizes, "key"), "near-dup-seen")
-    outside = seen.where("root != main").select("key", "rep", "n", "root")
-    cross = outside.alias("x").join(seen.alias("y"), "key").where("x.root != y.root and (y.root = y.main or x.rep < y.rep)").where(fits(F.col("x.n"), F.col("y.n")))
-    cross = cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    more = _confirmed(cross, texts, k, percent)
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = cut(members.hint("merge").join(sizes, "key"), "near-dup-buckets")
+    weighed = shared.join(shared.groupBy("rep").agg(F.sum("size").alias("weight")), "rep").select("key", "rep", "n", "weight")
+    centres = weighed.groupBy("key").agg(F.max_by(F.struct("rep", "n"), F.struct("weight", -F.col("rep"))).alias("c"))
+    stars = weighed.join(centres, "key").where(F.col("rep") != F.col("c.rep")).where(_fits("n", "c.n", percent))
+    stars = cut(stars.select(F.least("c.rep", "rep").alias("a"), F.greatest("c.rep", "rep").alias("b")).distinct(), "near-dup-stars")
+    sets = full_sets(texts, shared.select("rep").distinct(), k)
+    links = _confirmed(stars, sets, percent)
+    apart = cut(_apart(shared.select("key", "rep"), components(links)), "near-dup-apart")
+    more = _confirmed(_crossing(apart, sets, percent), sets, percent)
     several = full.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x != y").select("doc_id")
     same_doc = full.join(several, "doc_id").join(classes.select("set_id", "rep"), "set_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     root = components(links.unionByName(more).unionByName(same_doc))
