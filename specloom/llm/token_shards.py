@@ -13,14 +13,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specloom.llm.common import documents, limit_batches, scratch_path
+from specloom.llm.common import documents, hash_spans, limit_batches, scratch_path, utf8_view
 from specloom.llm.wavelet import WaveletMatrix
 
 END_ID = 1
 #: A row of a shard closes when it holds this many ids; one document is never split.
-SEGMENT_IDS = 1 << 20
-#: Distinct words whose ids a worker remembers; it forgets all of them when there are more.
-CACHED_WORDS = 700_000
+SEGMENT_IDS = 1 << 18
+#: Bytes of distinct words whose ids a worker remembers, 7 times as many with the ids; it forgets all of them when there are more.
+CACHED_BYTES = 10 << 20
 SHARD_SCHEMA = "shard int, seg int, n_docs int, n_ids long, doc_ids binary, no_id binary, lengths binary, planes binary"
 
 
@@ -56,53 +56,79 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.start, self.length, self.flat, self.used, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint16), 0, 0
-
-    def _append(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n, total = len(words), len(ids)
-        while self.used + n > len(self.start):
-            self.start, self.length = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.length, np.zeros_like(self.length)])
-        while self.size + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.size : self.size + total] = ids
-        self.length[self.used : self.used + n] = lengths
-        self.start[self.used : self.used + n] = self.size + np.cumsum(lengths) - lengths
-        self.slots.update(zip(words, range(self.used, self.used + n), strict=True))
-        self.used, self.size = self.used + n, self.size + total
-
-    def _add(self, words: list[str]) -> None:
-        ends = [0 if not m else 2 if m[1] else 1 for m in map(_PLAIN.fullmatch, words)]
-        plain, pre = [w for w, n in zip(words, ends, strict=True) if n], np.array([n for n in ends if n], np.int64)
-        single = [w for w, n in zip(words, ends, strict=True) if not n]
-        parts = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
-        for k, (part, e) in enumerate(zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True)):
-            ids, want = np.array(e.ids, np.uint16), np.cumsum(pre[k * JOINED : (k + 1) * JOINED])
-            found = np.flatnonzero(self.is_end[ids]) + 1
-            if len(found) == want[-1]:
-                self._append(part, ids, np.diff(found[want - 1], prepend=0))
+        """Words are found by the hash of their bytes in `keys`, in order, and compared byte by byte in `pool`."""
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pool, self.pool_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.flat, self.ids_at = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+
+    def _known(self, h: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The slot of each word, or -1."""
+        if not len(self.keys):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        slot = np.where(self.keys[at] == h, self.slots[at], -1)
+        size = np.diff(offsets)
+        slot[(slot >= 0) & (self.pool_at[slot + 1] - self.pool_at[slot] != size)] = -1
+        i = np.flatnonzero(slot >= 0)
+        n = size[i]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        same = self.pool[np.repeat(self.pool_at[slot[i]], n) + within] == data[np.repeat(offsets[i], n) + within]
+        slot[i[~np.logical_and.reduceat(same, np.cumsum(n) - n)] if len(i) else i] = -1
+        return slot
+
+    def _keep(self, h: np.ndarray, words: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Remember new words with their ids and return their slots."""
+        data, offsets = utf8_view(words)
+        new = np.arange(len(h)) + len(self.pool_at) - 1
+        self.pool, self.pool_at = np.concatenate([self.pool, data]), np.concatenate([self.pool_at, self.pool_at[-1] + offsets[1:]])
+        self.flat, self.ids_at = np.concatenate([self.flat, ids]), np.concatenate([self.ids_at, self.ids_at[-1] + np.cumsum(lengths)])
+        keys, slots = np.concatenate([self.keys, h]), np.concatenate([self.slots, new])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.slots = keys[order], slots[order]
+        return new
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after the other, ids of each)."""
+        ends = np.array([0 if not m else 2 if m[1] else 1 for m in map(_PLAIN.fullmatch, words)], np.int64)
+        plain = np.flatnonzero(ends)
+        parts, found, single = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)], [], [np.flatnonzero(ends == 0)]
+        joined = [" ".join([words[i] for i in part.tolist()]) for part in parts]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids, want = np.array(e.ids, np.uint16), np.cumsum(ends[part])
+            at = np.flatnonzero(self.is_end[ids]) + 1
+            if len(at) == want[-1]:
+                found.append((part, ids, np.diff(at[want - 1], prepend=0)))
             else:
-                single += part
-        for k in range(0, len(single), 4096):
-            part = single[k : k + 4096]
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            self._append(part, np.array([i for x in lists for i in x], np.uint16), np.array([len(x) for x in lists], np.int64))
+                single.append(part)
+        rest = np.concatenate(single)
+        for k in range(0, len(rest), 4096):
+            part = rest[k : k + 4096]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in part.tolist()], add_special_tokens=False)]
+            found.append((part, np.array([i for x in lists for i in x], np.uint16), np.array([len(x) for x in lists], np.int64)))
+        order = np.concatenate([x[0] for x in found])
+        ids, lengths = np.concatenate([x[1] for x in found]), np.concatenate([x[2] for x in found])
+        back = np.argsort(order, kind="stable")
+        return ids[_spread((np.cumsum(lengths) - lengths)[back], lengths[back])], lengths[back]
 
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids of each text); with end_id after each text."""
-        if self.used > CACHED_WORDS:
+        if len(self.pool) > CACHED_BYTES:
             self.forget()
         words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         offsets = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.slots]
-        if new:
-            self._add(new)
-        slot = np.array([self.slots[w] for w in distinct], np.int64).take(coded.indices.to_numpy()) if distinct else np.zeros(0, np.int64)
-        lengths = self.length[slot]
+        distinct = coded.dictionary.cast(pa.large_string())
+        data, bounds = utf8_view(distinct)
+        h = hash_spans(data, bounds[:-1], bounds[1:])
+        slot = self._known(h, data, bounds)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            taken = distinct.take(pa.array(new))
+            slot[new] = self._keep(h[new], taken, *self._encoded(taken.to_pylist()))
+        coded = coded.indices.to_numpy()
+        lengths = (self.ids_at[slot + 1] - self.ids_at[slot]).astype(np.int32)[coded]
         upto = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.repeat(self.start[slot] - upto[:-1], lengths) + np.arange(upto[-1])
+        at = _spread(self.ids_at[slot].astype(np.int32)[coded], lengths)
         ids, per = self.flat[at], np.diff(upto[offsets - offsets[0]])
         if end_id is None:
             return ids, per
@@ -111,6 +137,12 @@ class WordEncoder:
         return out, per + 1
 
 
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one after the other."""
+    ends = np.cumsum(lengths, dtype=starts.dtype)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(lengths.sum()), dtype=starts.dtype)
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -130,14 +162,18 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, segment_ids: int) ->
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["shard", "seg", "n_docs", "n_ids", "doc_ids", "no_id", "lengths", "planes"])
 
     for b in batches:
-        for k in range(0, b.num_rows, 500):
-            part = b.slice(k, 500)
-            ids, lengths = encoder.encode(part.column("text"))
-            docs = part.column("doc_id")
-            held.append((ids, lengths, docs.fill_null(0).to_numpy(zero_copy_only=False), docs.is_null().to_numpy(zero_copy_only=False)))
-            if sum(len(x[0]) for x in held) >= segment_ids:
+        ids, lengths = encoder.encode(b.column("text"))
+        docs = b.column("doc_id")
+        docs, no_id = docs.fill_null(0).to_numpy(zero_copy_only=False), docs.is_null().to_numpy(zero_copy_only=False)
+        upto, at = np.concatenate([[0], np.cumsum(lengths)]), 0
+        while at < len(lengths):
+            free = segment_ids - sum(len(x[0]) for x in held)
+            end = min(len(lengths), max(at, int(np.searchsorted(upto, upto[at] + free))))
+            held.append((ids[upto[at] : upto[end]], lengths[at:end], docs[at:end], no_id[at:end]))
+            if upto[end] - upto[at] >= free:
                 yield close()
                 seg, held = seg + 1, []
+            at = end
     if held:
         yield close()
 
@@ -145,14 +181,17 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, segment_ids: int) ->
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, segment_ids: int = SEGMENT_IDS) -> None:
     """Encode each text, append END_ID, and write ids in ascending doc_id order as wavelet matrices under path.
 
-    Documents are dealt by ranges of doc_id (nulls first), one file a range; null texts are empty. Extra
-    columns are ignored; repeated rows are written as often as they come. Spark's writer makes the files, so
-    path may be any store that the cluster shares, and a lost task is run again without leaving half a file.
+    Documents are dealt by ranges of doc_id (nulls first), one file a range; rows of one id are ordered by a
+    digest of their texts and then by the texts, so reruns agree, and many such rows spread over files. Null
+    texts are empty. Extra columns are ignored; repeated rows are written as often as they come. Spark's
+    writer makes the files, so path may be any store that the cluster shares, and a lost task is run again
+    without leaving half a file. A worker holds one segment, one batch and CACHED_BYTES of words.
     """
     limit_batches(docs.sparkSession)
     path_of = tokenizer or default_tokenizer()
     text = F.coalesce("text", F.lit("")).alias("text")
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).withColumn("digest", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest", "text").select("doc_id", "text")
     ordered.mapInArrow(lambda it: _segments(it, path_of, segment_ids), SHARD_SCHEMA).write.option("compression", "none").parquet(path)
 
 
