@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import cut, documents, hash_spans, limit_batches, utf8_view, word_spans
+from specloom.llm.common import cut, documents, hash_spans, lean, limit_batches, utf8_view, word_spans
 
 #: Bytes of a passage; the last one of a text is shorter.
 PASSAGE = 400
@@ -123,6 +123,7 @@ def train(x: np.ndarray, per: np.ndarray, y: np.ndarray, weight: np.ndarray, ste
     return model
 
 
+@lean
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x, per = passage_features(b.column("text"))
@@ -155,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS) -> Atte
     return train(np.concatenate(x).astype(np.float64) if x else np.zeros((0, FEATURES)), np.array([len(b) for b in x], np.int64), y, weight)
 
 
+@lean
 def _scores(batches: Iterator[pa.RecordBatch], model: AttentionModel) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x, per = passage_features(b.column("text"))

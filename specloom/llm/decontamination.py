@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import cut, documents, hash_spans, limit_batches, mix, word_spans
+from specloom.llm.common import cut, documents, hash_spans, lean, limit_batches, mix, word_spans
 
 #: Tokens are runs of letters and digits; all bytes beyond ASCII count as letters.
 _BREAKS = np.ones(256, bool)
@@ -50,6 +50,7 @@ def grams(h: np.ndarray, first: np.ndarray, n: int = SEED_TOKENS) -> tuple[np.nd
     return g, text, at
 
 
+@lean
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(item_id, seg, at, h, tokens) for each n-gram of each segment."""
     for b in batches:
@@ -82,6 +83,7 @@ def _passing(g: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.flatnonzero(bits[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1))
 
 
+@lean
 def _hits(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(h, doc_id, row, at, base, around): a seed's place in its text, and the tokens around it from base on."""
     for b in batches:
@@ -126,6 +128,7 @@ def _padded(lists: list[np.ndarray], fill: int) -> np.ndarray:
     return out
 
 
+@lean
 def _scored(batches: Iterator[pa.RecordBatch], min_score: float) -> Iterator[pa.RecordBatch]:
     """(doc_id, item_id, score, start, end) of each passage whose alignment reaches min_score; start and end count tokens."""
     for b in batches:

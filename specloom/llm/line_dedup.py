@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import SPACE_CHARS, ascii_lower, documents, limit_batches
+from specloom.llm.common import SPACE_CHARS, ascii_lower, documents, lean, limit_batches
 
 #: Stands for a null doc_id where documents are compared.
 NO_ID = -(1 << 63)
@@ -25,6 +25,7 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
+@lean
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, drops, out = b.column("text").to_pylist(), b.column("drops").to_pylist(), {"n_lines": [], "n_dropped": [], "kept_text": []}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specloom.llm.common import components, cut, documents, limit_batches, mix, shingle_sets
+from specloom.llm.common import components, cut, documents, lean, limit_batches, mix, shingle_sets
 
 #: A band is the minima and maxima of PER_BAND permutations, eight values. At a similarity of 0.8 all eight
 #: agree with probability 0.17, so that a pair shares none of 64 bands with probability 8e-6; at 0.2, which long
@@ -44,6 +44,7 @@ def min_max_bands(sets: list[np.ndarray], bands: int = BANDS, per_band: int = PE
     return keys
 
 
+@lean
 def _features(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = shingle_sets(b.column("text"), k)
@@ -56,6 +57,7 @@ def _features(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), bands], ["doc_id", "n_shingles", "set_id", "bands"])
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = shingle_sets(b.column("text"), k)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import documents, limit_batches
+from specloom.llm.common import documents, lean, limit_batches
 
 #: The base kinds, in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -84,6 +84,7 @@ def random_spans(text: str, taken: list[tuple[int, int, str]], enc: object, most
     return out
 
 
+@lean
 def _scan(batches: Iterator[pa.RecordBatch], path: str, most_ratio: float) -> Iterator[pa.RecordBatch]:
     enc = encoding(path)
     joined = lambda spans: ",".join(f"{k}:{a}:{b}" for a, b, k in spans)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specloom.llm.column_bwt import repeated
-from specloom.llm.common import cut, documents, hash_spans, limit_batches, runs, utf8_view
+from specloom.llm.common import cut, documents, hash_spans, lean, limit_batches, runs, utf8_view
 from specloom.llm.winnow import anchors, gram_hashes
 
 WINDOW, GRAM = 200, 64
@@ -23,6 +23,7 @@ GROUP_STRINGS = 16384
 _N, _V = 8, 24  # bits of a fragment's windows and of a text's version, beside 32 of its start
 
 
+@lean
 def _fragments(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         h, g, text, start, n, tied = anchors(*utf8_view(b.column("text")), window, gram)
@@ -31,6 +32,7 @@ def _fragments(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Ite
         yield pa.RecordBatch.from_arrays(cols, ["h", "g", "d", "at", "times"])
 
 
+@lean
 def _cut_out(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: dict[str, list] = {"h": [], "g": [], "w": [], "bytes": []}
@@ -91,6 +93,7 @@ def starts_repeated(strings: list[bytes], weights: np.ndarray, groups: list[int]
     return out
 
 
+@lean
 def _transforms(batches: Iterator[pa.RecordBatch], window: int, least: int) -> Iterator[pa.RecordBatch]:
     """Whole groups of one h, which come in order, are put together until there are `least` strings."""
     h: list[int] = []
@@ -116,6 +119,7 @@ def _transforms(batches: Iterator[pa.RecordBatch], window: int, least: int) -> I
         yield done(len(h))
 
 
+@lean
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for h, g, w, s in zip(*(b.column(c).to_pylist() for c in ("h", "g", "w", "bytes")), strict=True):
@@ -124,6 +128,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(same * h), pa.array(same * g), pa.array(np.arange(len(x))), pa.array(x), pa.array(same * w)], ["h", "g", "at", "x", "w"])
 
 
+@lean
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n_bytes, n_removed, n_spans, kept = [], [], [], []

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import documents, limit_batches
+from specloom.llm.common import documents, lean, limit_batches
 
 #: Sentencepiece writes a space, and the start of a text, as this character.
 SPACE = "▁"
@@ -78,6 +78,7 @@ class TrieCounter:
 _COUNTERS: dict[str, tuple[TrieCounter, dict[str, int]]] = {}
 
 
+@lean
 def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     if path not in _COUNTERS:
         _COUNTERS[path] = (TrieCounter(unigram_scores(path)), {})

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specloom.llm.common import documents, hash_spans, limit_batches, scratch_path, utf8_view
+from specloom.llm.common import documents, hash_spans, lean, limit_batches, scratch_path, utf8_view
 from specloom.llm.wavelet import WaveletMatrix
 
 END_ID = 1
@@ -146,6 +146,7 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+@lean
 def _segments(batches: Iterator[pa.RecordBatch], path: str, segment_ids: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -195,6 +196,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, segme
     ordered.mapInArrow(lambda it: _segments(it, path_of, segment_ids), SHARD_SCHEMA).write.option("compression", "none").parquet(path)
 
 
+@lean
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in b.to_pylist():
@@ -226,6 +228,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 def count_token(spark: SparkSession, path: str, token: int) -> DataFrame:
     """(shard, seg, n): how often token stands in each segment, from two ranks a plane."""
 
+    @lean
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = [WaveletMatrix.from_bytes(x.as_py()).count(token) for x in b.column("planes")]
@@ -237,6 +240,7 @@ def count_token(spark: SparkSession, path: str, token: int) -> DataFrame:
 def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
     """(shard, seg, at): the places of token in each segment, by select."""
 
+    @lean
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard, seg, blob in zip(*(b.column(c).to_pylist() for c in ("shard", "seg", "planes")), strict=True):
