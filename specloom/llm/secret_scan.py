@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +30,11 @@ MOST_RATIO = 2.0
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Identifiers: numbers, dates, and words, or names in parts that are each a word or a number.
-IDENTIFIER = re.compile(r"[0-9_/+-]+|([A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,4})([_/+-]([A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,4}))*")
+NUMBERS = re.compile(r"[0-9_/+-]+")
+SEPARATOR = re.compile(r"[_/+-]")
+PART = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,4}")
+#: Characters of a candidate that are turned into tokens at once; merging takes the square of it.
+ENCODED = 512
 
 
 def default_vocabulary() -> str:
@@ -63,23 +69,24 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def known(s: str) -> bool:
-    """Digests and identifiers, which are dense in tokens but no secrets."""
+    """Digests and identifiers, which are dense in tokens but no secrets; takes time in proportion to s."""
     core = s.rstrip("=")
-    if UUID.fullmatch(core) or IDENTIFIER.fullmatch(core):
+    if UUID.fullmatch(core) or NUMBERS.fullmatch(core) or all(map(PART.fullmatch, SEPARATOR.split(core))):
         return True
     return len(core) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", core) is not None
 
 
 def random_spans(text: str, taken: list[tuple[int, int, str]], enc: object, most_ratio: float = MOST_RATIO) -> list[tuple[int, int, str]]:
-    """(start, end, "random") of candidates with a letter, unknown and outside taken, at most most_ratio characters a token."""
-    out = []
+    """(start, end, "random") of candidates with a letter, unknown and outside taken, at most most_ratio characters a token.
+
+    taken is in order of starts. Tokens are counted over parts of ENCODED characters.
+    """
+    out, starts, reach = [], [a for a, _, _ in taken], list(accumulate((z for _, z, _ in taken), max))
     for m in CANDIDATE.finditer(text):
-        s = m.group()
-        if not any(c.isalpha() for c in s) or known(s):
-            continue
-        if any(a < m.end() and m.start() < b for a, b, _ in taken):
+        s, before = m.group(), bisect_left(starts, m.end())
+        if before and reach[before - 1] > m.start() or not any(c.isalpha() for c in s) or known(s):
             continue
-        if len(s) <= most_ratio * len(enc.encode_ordinary(s)):
+        if len(s) <= most_ratio * sum(len(enc.encode_ordinary(s[k : k + ENCODED])) for k in range(0, len(s), ENCODED)):
             out.append((m.start(), m.end(), "random"))
     return out
 
@@ -103,7 +110,8 @@ def secret_scan(docs: DataFrame, vocabulary: str | None = None, most_ratio: floa
     spans lists kind:start:end by start, then kind in the order of KINDS, in code points with exclusive ends;
     base_sha256 digests the same list of the base kinds only. A random span is a run of 20 or more characters
     with a letter, none of the known digests and identifiers, outside all base spans, that needs a token for
-    every most_ratio characters or fewer; letters of one case alone are identifiers. Null and empty texts have no spans; repeated rows are
+    every most_ratio characters or fewer; letters of one case alone are identifiers. Time grows with the
+    text alone, whatever it holds. Null and empty texts have no spans; repeated rows are
     scanned as often as they come; other columns are ignored. Rows never meet, so nothing is shuffled.
     """
     limit_batches(docs.sparkSession)

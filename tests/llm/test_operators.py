@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -366,6 +367,26 @@ def test_op8_random_letters_without_a_digit(spark):
     assert not any(out[i] for i in range(len(texts), len(docs)))
 
 
+def test_op8_takes_linear_time():
+    enc = secret_scan.encoding(secret_scan.default_vocabulary())
+    began = time.time()
+    assert not secret_scan.known("-" * 100_000 + "a1b2ccccc9x")
+    assert secret_scan.known("-" * 100_000 + "ab_12")
+    for text in ("-" * 100_000 + "a1b2ccccc9x", "aB" * 50_000, "token" + " " * 100_000, "0f" * 12 + " " + ("0f" * 12 + " ") * 4000):
+        base = secret_scan.base_spans(text)
+        secret_scan.random_spans(text, base, enc)
+    assert time.time() - began < 2
+
+
+def test_op8_identifiers():
+    """The parts one by one are what one pattern with repeats says, on strings short enough for it."""
+    rng = random.Random(21)
+    whole = re.compile(r"[0-9_/+-]+|([A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,4})([_/+-]([A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,4}))*")
+    for _ in range(3000):
+        s = "".join(rng.choice("aB1-_") for _ in range(rng.randint(0, 9)))
+        assert secret_scan.known(s) == (whole.fullmatch(s) is not None)
+
+
 def test_op9(spark, rows):
     scores = token_counts.unigram_scores(token_counts.default_vocabulary())
 
