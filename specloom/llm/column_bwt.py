@@ -2,7 +2,9 @@
 
 Round j inserts the suffix of length j of every string: one symbol a string. The transform (one symbol a
 suffix) and the common prefix of each suffix with the one before it lie in two files, which a round reads from
-front to back and writes anew; what stays in memory between rounds is one place for each string.
+front to back and writes anew. Between rounds one place for each string stays in memory, and the strings; in a
+round the files of this part of the collection are there as well, with an order of the transform: some 20 bytes
+a symbol. Who builds it divides the collection into parts for which that is little.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ WINDOW, GRAM = 200, 64
 BUILD_STRINGS = 4096
 #: Distinct strings beyond which a group's windows are counted over the cluster instead.
 GROUP_STRINGS = 16384
-_N, _V = 8, 24  # bits of a fragment's windows and of a text's version, beside 32 of its start
+_N, _V = 8, 24  # bits of a fragment's windows and of its text's second digest, beside 32 of its start
 
 
 @lean
@@ -28,8 +28,8 @@ def _fragments(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Ite
     for b in batches:
         h, g, text, start, n, tied = anchors(*utf8_view(b.column("text")), window, gram)
         at = (start << (_N + _V)) | (n << _V) | b.column("v").to_numpy()[text]
-        cols = [pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(b.column("d").to_numpy()[text]), pa.array(at), pa.array(1 + tied.astype(np.int64))]
-        yield pa.RecordBatch.from_arrays(cols, ["h", "g", "d", "at", "times"])
+        cols = [pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(b.column("t").to_numpy()[text]), pa.array(at), pa.array(1 + tied.astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(cols, ["h", "g", "t", "at", "times"])
 
 
 @lean
@@ -71,9 +71,11 @@ def starts_repeated(strings: list[bytes], weights: np.ndarray, groups: list[int]
     _, code, count = np.unique(digest, return_inverse=True, return_counts=True)
     lone = np.bincount(code, weights[owner] == 1) > 0
     open_ = np.flatnonzero((count > 1)[code] & lone[code])
+    out = [np.full(k, w > 1) for k, w in zip(n, weights, strict=True)]
+    if not len(open_):
+        return out
     who, first = np.unique(owner[open_], return_index=True)
     last = np.append(first[1:], len(open_)) - 1
-    out = [np.full(k, w > 1) for k, w in zip(n, weights, strict=True)]
     cuts: dict[tuple[int, bytes], int] = {}
     total: list[int] = []
     mine = []
@@ -152,27 +154,32 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def removals(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, group_strings: int = GROUP_STRINGS) -> DataFrame:
-    """(d, v, from, to): byte ranges covered by strings of `window` bytes that start elsewhere too, from (d, v, text)."""
-    fragments = rows.mapInArrow(lambda it: _fragments(it, window, gram), "h long, g long, d long, at long, times long")
+    """(t, v, from, to): byte ranges covered by strings of `window` bytes that start elsewhere too, from (t, v, text).
+
+    t and v are digests of the text, so equal rows are told of once, and each gives its fragments.
+    """
+    fragments = cut(rows.mapInArrow(lambda it: _fragments(it, window, gram), "h long, g long, t long, at long, times long"), "suffix-all")
     again = fragments.groupBy("h").agg(F.sum("times").alias("times")).where("times > 1").select("h")
-    found = cut(fragments.join(again, "h").select("h", "g", "d", "at", "times"), "suffix-fragments")
+    found = fragments.join(again, "h").groupBy("h", "g", "t", "at").agg(F.count("*").alias("n"), F.max("times").alias("times"))
+    found = cut(found, "suffix-fragments")
     v = F.col("at").bitwiseAND((1 << _V) - 1)
     start, end = F.shiftright("at", _N + _V), F.shiftright("at", _N + _V) + F.shiftright("at", _V).bitwiseAND((1 << _N) - 1) + F.lit(window - 1)
-    distinct = found.groupBy("h", "g").agg(F.count("*").alias("w"), F.max("times").alias("times"), F.min(F.struct("d", "at")).alias("rep"))
+    distinct = found.groupBy("h", "g").agg(F.sum("n").alias("w"), F.max("times").alias("times"), F.min(F.struct("t", "at")).alias("rep"))
     groups = distinct.groupBy("h").agg(F.count("*").alias("strings"), F.max("times").alias("times"))
     mixed = groups.where("strings > 1 or times > 1").select("h", (F.col("strings") > group_strings).alias("hot"))
     kinds = cut(mixed, "suffix-groups")
-    copies = found.join(kinds, "h", "left_anti").select(F.col("d"), v.alias("v"), start.alias("from"), end.alias("to"))
-    reps = distinct.join(kinds, "h").select(F.col("rep.d").alias("d"), F.col("rep.at").bitwiseAND((1 << _V) - 1).alias("v"), F.struct("h", "g", "w", "rep.at").alias("r"))
-    reps = reps.groupBy("d", "v").agg(F.collect_list("r").alias("reps"))
-    strings = cut(rows.join(reps, ["d", "v"]).select("text", "reps").mapInArrow(lambda it: _cut_out(it, window), "h long, g long, w long, bytes binary"), "suffix-strings")
+    copies = found.join(kinds, "h", "left_anti").select("t", v.alias("v"), start.alias("from"), end.alias("to"))
+    reps = distinct.join(kinds, "h").select(F.col("rep.t").alias("t"), F.col("rep.at").bitwiseAND((1 << _V) - 1).alias("v"), F.struct("h", "g", "w", "rep.at").alias("r"))
+    reps = reps.groupBy("t", "v").agg(F.collect_list("r").alias("reps"))
+    texts = rows.groupBy("t", "v").agg(F.first("text").alias("text"))
+    strings = cut(texts.join(reps, ["t", "v"]).select("text", "reps").mapInArrow(lambda it: _cut_out(it, window), "h long, g long, w long, bytes binary"), "suffix-strings")
     built = strings.join(kinds.where("not hot").select("h"), "h").select("h", "g", "w", "bytes").repartition("h").sortWithinPartitions("h", "g")
     spans = built.mapInArrow(lambda it: _transforms(it, window, BUILD_STRINGS), "h long, g long, from long, to long")
     wide = strings.join(kinds.where("hot").select("h"), "h").select("h", "g", "w", "bytes").mapInArrow(lambda it: _windows(it, window), "h long, g long, at long, x long, w long")
     twice = wide.groupBy("h", "x").agg(F.sum("w").alias("n")).where("n > 1").select("h", "x")
     spans = spans.unionByName(wide.join(twice, ["h", "x"]).select("h", "g", F.col("at").alias("from"), (F.col("at") + window).alias("to")))
     spans = cut(spans, "suffix-spans")
-    placed = found.join(spans, ["h", "g"]).select("d", v.alias("v"), (start + F.col("from")).alias("from"), (start + F.col("to")).alias("to"))
+    placed = found.join(spans, ["h", "g"]).select("t", v.alias("v"), (start + F.col("from")).alias("from"), (start + F.col("to")).alias("to"))
     return copies.unionByName(placed)
 
 
@@ -181,8 +188,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Removed is each UTF-8 byte covered by a string of `window` bytes that also starts anywhere else, in the
     same text or another; strings are judged on the input. Null texts are empty, and texts under `window`
-    bytes keep all. Repeated rows are documents of their own, so they lose all strings of that length. Null
-    ids are ids like others; other columns are ignored.
+    bytes keep all. Repeated rows are documents of their own, so they lose all strings of that length. Ids,
+    null or not, take no part: a text is known by 88 bits of digests. Other columns are ignored.
 
     One transform over a whole corpus would take a round for each byte of its longest text, each reading all
     before it. So the collection is divided first, exactly: each window goes to the least hash of its k-grams,
@@ -195,10 +202,10 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     limit_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    version = F.xxhash64(text).bitwiseAND((1 << _V) - 1)
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), version.alias("v"), text.alias("text"))
-    gone = removals(rows.select("d", "v", "text"), window).groupBy("d", "v").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    out = rows.join(gone, ["d", "v"], "left").select("doc_id", "text", "spans")
+    second = F.xxhash64(F.lit("second"), text).bitwiseAND((1 << _V) - 1)
+    rows = docs.select("doc_id", F.xxhash64(text).alias("t"), second.alias("v"), text.alias("text"))
+    gone = removals(rows.select("t", "v", "text"), window).groupBy("t", "v").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    out = rows.join(gone, ["t", "v"], "left").select("doc_id", "text", "spans")
     return out.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
 
 

@@ -155,6 +155,24 @@ def test_op3(spark, rows, group_strings, monkeypatch):
     assert got(suffix_dedup.suffix_dedup(frame(spark, docs)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=str)
 
 
+def test_op3_repeated_periodic_rows():
+    assert [list(x) for x in suffix_dedup.starts_repeated([b"ab" * 150], np.array([2]), [1], 200)] == [[True] * 101]
+    assert suffix_dedup.starts_repeated([], np.zeros(0, np.int64), [], 200) == []
+
+
+def test_op3_repeated_rows_and_null_ids(spark):
+    rng = random.Random(15)
+    base = sentence(rng, 120)
+    unlike = [sentence(rng, 60) + base[:250] + str(i) for i in range(300)]
+    docs = [(7, "ab" * 150, "", "")] * 2 + [(8, base, "", "")] * 1000 + [(None, x, "", "") for x in unlike] + [(-(1 << 63), base[10:] + "!", "", "")]
+    want = [(i, *x) for (i, *_), x in zip(docs, covered([t for _, t, _, _ in docs], 200), strict=True)]
+    df = frame(spark, docs)
+    assert got(suffix_dedup.suffix_dedup(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=str)
+    key = F.xxhash64("text").alias("t"), (F.length("text") * 0).cast("long").alias("v"), "text"
+    spans = [suffix_dedup.removals(frame(spark, [(8, base, "", "")] * n + [(9, base + "?", "", "")]).select(*key)).count() for n in (2, 40)]
+    assert spans[0] == spans[1]
+
+
 def test_column_bwt():
     rng = random.Random(3)
     for t in range(60):
