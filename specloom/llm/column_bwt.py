@@ -70,11 +70,15 @@ def build(strings: list[bytes], folder: str | None = None) -> tuple[np.ndarray,
     flat = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
     ends = np.cumsum(lengths)
     with tempfile.TemporaryDirectory(dir=folder) as tmp:
-        files = [os.path.join(tmp, x) for x in ("transform", "prefixes")]
+        files: list[str] = []
 
         def put(b: np.ndarray, lcp: np.ndarray) -> None:
-            b.tofile(files[0])
-            lcp.tofile(files[1])
+            """Write new files and remove the old ones, whose bytes then need never reach the disk."""
+            old, files[:] = files[:], [os.path.join(tmp, f"{x}-{len(b)}") for x in ("transform", "prefixes")]
+            for path, x in zip(files, (b, lcp), strict=True):
+                x.tofile(path)
+            for path in old:
+                os.remove(path)
 
         def before(i: np.ndarray, j: int) -> np.ndarray:
             """The symbol before the suffix of length j of strings i."""

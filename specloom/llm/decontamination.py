@@ -17,8 +17,8 @@ _BREAKS = np.ones(256, bool)
 _BREAKS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 #: Every n-gram of an item is a seed: which ones an edited copy keeps cannot be told from other documents.
 SEED_TOKENS = 3
-#: Longer items are aligned part by part; shorter ones than LEAST tokens are no evidence.
-SEGMENT, STRIDE, LEAST = 64, 32, 8
+#: Longer items are aligned part by part; of items under WHOLE tokens only exact copies are evidence.
+SEGMENT, STRIDE, WHOLE = 64, 32, 8
 #: Tokens by which an alignment may leave the diagonal of its seed.
 SLACK = 16
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -52,21 +52,20 @@ def grams(h: np.ndarray, first: np.ndarray, n: int = SEED_TOKENS) -> tuple[np.nd
 
 @lean
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item_id, seg, at, h, tokens) for each n-gram of each segment."""
+    """(item_id, seg, at, n, h, tokens) for each n-gram of each segment; of an item under WHOLE tokens the first is enough."""
     for b in batches:
         h, first = tokens(b.column("text"))
         ids, rows = b.column("item_id").to_pylist(), []
         for i, a, z in zip(ids, first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if z - a < LEAST:
-                continue
             starts = sorted({*range(a, max(a + 1, z - SEGMENT), STRIDE), max(a, z - SEGMENT)})
-            for seg, s in enumerate(starts):
+            for seg, s in enumerate(starts if z > a else []):
                 part = h[s : min(z, s + SEGMENT)]
-                g, _, at = grams(part, np.array([0, len(part)]))
-                rows += [(i, seg, k, x, part.view(np.int64)) for k, x in zip(at.tolist(), g.view(np.int64).tolist(), strict=True)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["item_id", "seg", "at", "h", "tokens"])
+                n, most = min(SEED_TOKENS, len(part)), 1 if z - a < WHOLE else SEGMENT
+                g, _, at = grams(part, np.array([0, len(part)]), n)
+                rows += [(i, seg, k, n, x, part.view(np.int64)) for k, x in zip(at[:most].tolist(), g[:most].view(np.int64).tolist(), strict=True)]
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["item_id", "seg", "at", "n", "h", "tokens"])
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
@@ -84,11 +83,11 @@ def _passing(g: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 @lean
-def _hits(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(h, doc_id, row, at, base, around): a seed's place in its text, and the tokens around it from base on."""
+def _hits(batches: Iterator[pa.RecordBatch], bits: np.ndarray, sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    """(h, doc_id, place, base, around): a seed's place in its text, and the tokens around it from base on."""
     for b in batches:
         h, first = tokens(b.column("text"))
-        g, text, at = grams(h, first)
+        g, text, at = (np.concatenate(x) for x in zip(*(grams(h, first, n) for n in sizes), strict=True))
         passing = _passing(g, bits)
         for k in range(0, len(passing), HITS):
             i = passing[k : k + HITS]
@@ -149,12 +148,13 @@ def _scored(batches: Iterator[pa.RecordBatch], min_score: float) -> Iterator[pa.
                 near.append(np.array(around[s : place - at + len(item) + SLACK - lo], np.int64))
                 base.append(lo + s)
             full = np.array([MATCH * len(x) for x in items])
+            least = np.where(full < MATCH * WHOLE, full, min_score * full)
             left, right = _padded(items, -1), _padded(near, -2)
             # no alignment scores more than all the item's tokens that stand in the passage at all
-            able = np.flatnonzero(MATCH * (left[:, :, None] == right[:, None, :]).any(2).sum(1) >= min_score * full)
+            able = np.flatnonzero(MATCH * (left[:, :, None] == right[:, None, :]).any(2).sum(1) >= least)
             best, end = np.zeros(len(full), np.int32), np.zeros(len(full), np.int64)
             best[able], end[able] = align(left[able], right[able])
-            good = np.flatnonzero(best >= min_score * full)
+            good = np.flatnonzero(best >= least)
             if len(good):
                 _, tail = align(_padded([items[i][::-1] for i in good], -1), _padded([near[i][: end[i]][::-1] for i in good], -2))
                 docs, ids = p.column("doc_id").to_pylist(), p.column("item_id").to_pylist()
@@ -164,29 +164,30 @@ def _scored(batches: Iterator[pa.RecordBatch], min_score: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "item_id", "score", "start", "end"])
 
 
-def decontamination(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+def decontamination(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """Return (doc_id, item_id, score, start, end): each document that holds a passage like a test item, once per item.
 
     score is the best local alignment of tokens (lower-cased runs of letters and digits) over that of an exact
-    copy, in [min_score, 1]; start and end are the passage's tokens in the document. Items of fewer than LEAST
-    tokens, null texts and empty texts match nothing; repeated rows of a document or an item give one row;
-    a null doc_id is a document like others. Other columns are ignored.
+    copy, in [min_score, 1]; start and end are the passage's tokens in the document. Of an item of fewer than
+    WHOLE tokens only an exact copy counts. Null texts and texts without tokens match nothing; repeated rows of
+    a document or an item give one row; a null doc_id is a document like others. Other columns are ignored.
 
     Every n-gram of an item is a seed, so whether a document is found depends on it and the item alone: a
     passage that shares SEED_TOKENS tokens in a row with the item is aligned. One that shares none, such as a
     copy with every third word replaced, is not found, though it may score a little over 0.5.
     One scan of the documents, with a filter of 2 MB at most, finds the seeds with the tokens around them, so
     that no text is shuffled. What an item's tokens in a passage cannot bring to min_score is not aligned.
-    The seeds are joined by broadcast up to BROADCAST_SEEDS rows, else by a shuffle that skew can split.
+    The seeds are joined by broadcast up to broadcast_seeds rows, else by a shuffle that skew can split.
     """
     spark = docs.sparkSession
     limit_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    seeds = cut(items.mapInArrow(_items, "item_id long, seg int, at int, h long, tokens array<long>"), "decontam-seeds")
+    seeds = cut(items.mapInArrow(_items, "item_id long, seg int, at int, n int, h long, tokens array<long>"), "decontam-seeds")
     chosen = _filter(seeds.select("h"))
-    found = rows.mapInArrow(lambda it: _hits(it, chosen), "h long, doc_id long, place int, base int, around array<long>")
-    few = seeds.count() <= BROADCAST_SEEDS
+    sizes = sorted(r.n for r in seeds.select("n").distinct().collect()) or [SEED_TOKENS]
+    found = rows.mapInArrow(lambda it: _hits(it, chosen, sizes), "h long, doc_id long, place int, base int, around array<long>")
+    few = seeds.count() <= broadcast_seeds
     joined = found.join(F.broadcast(seeds) if few else seeds, "h")
     scored = joined.mapInArrow(lambda it: _scored(it, min_score), "doc_id long, item_id long, score double, start long, end long")
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", -F.col("start"), -F.col("end"))).alias("b"))

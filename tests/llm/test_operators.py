@@ -188,7 +188,7 @@ def test_column_bwt():
 
 def test_op4(spark):
     rng = random.Random(6)
-    items = [(k, sentence(rng, rng.randint(15, 150), "abcdefghij")) for k in range(12)] + [(90, None), (91, "too short")]
+    items = [(k, sentence(rng, rng.randint(15, 150), "abcdefghij")) for k in range(12)] + [(90, None), (91, "not there")]
     docs, leaks = [], set()
     for i in range(60):
         text = sentence(rng, 150, "klmnopqrst")
@@ -202,6 +202,44 @@ def test_op4(spark):
     assert {(r.doc_id, r.item_id) for r in out.collect()} == leaks
 
 
+def test_op4_short_items_and_both_joins(spark):
+    items = [(1, "alpha beta"), (2, "one two three four five"), (3, "gamma"), (4, None), (5, "... !"), (6, " ".join(f"w{i}" for i in range(20)))]
+    texts = ["x Alpha, beta y", "alpha x beta", "one two three four five six", "one two three four x five", "a gamma", "gammas", "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 x y z"]
+    want = {(0, 1), (2, 2), (4, 3), (6, 6)}
+    for most in (100, 0):
+        out = decontamination.decontamination(frame(spark, [(i, t, "", "") for i, t in enumerate(texts)]), spark.createDataFrame(items, "item_id long, text string"), broadcast_seeds=most)
+        assert {(r.doc_id, r.item_id) for r in out.collect()} == want
+
+
+def plain_score(item, text):
+    """Best local alignment of tokens over that of an exact copy, cell by cell."""
+    a, b = (re.findall(r"[0-9a-z]+|[^\x00-\x7f]+", x.lower()) for x in (item, text))
+    last, best = [0] * (len(b) + 1), 0
+    for x in a:
+        now = [0]
+        for j, y in enumerate(b):
+            now.append(max(0, last[j] + (2 if x == y else -1), last[j + 1] - 1, now[j] - 1))
+        last, best = now, max(best, *now)
+    return best / (2 * len(a)) if a else 0
+
+
+def test_op4_against_all_alignments(spark):
+    """Every pair that aligns and shares three tokens in a row is found with its score, and no other."""
+    rng = random.Random(22)
+    items = [(k, sentence(rng, rng.randint(9, 60), "abcd")) for k in range(8)]
+    docs = []
+    for i in range(50):
+        w = items[i % 8][1].split()
+        w = [rng.choice(["new", x + "x"]) if rng.random() < i / 70 else x for x in w if rng.random() > i / 300]
+        docs.append((i, f"{sentence(rng, 40, 'klmn')} {' '.join(w)} {sentence(rng, 40, 'klmn')}", "", ""))
+    grams = lambda t: set(zip(t.split(), t.split()[1:], t.split()[2:], strict=False))
+    want = {(i, k): plain_score(x, t) for i, t, _, _ in docs for k, x in items if plain_score(x, t) >= 0.5 and grams(x) & grams(t)}
+    out = decontamination.decontamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id): r.score for r in out}
+    assert found.keys() == want.keys() and len(want) >= 20
+    assert all(abs(found[k] - v) < 1e-6 for k, v in want.items())
+
+
 def test_op4_edited_copy_beside_a_verbatim_one(spark):
     rng = random.Random(12)
     items = [(k, sentence(rng, n, "abcdefghij")) for k, n in enumerate((16, 30, 59))]
