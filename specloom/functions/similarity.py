@@ -48,8 +48,13 @@ def length_bound(ka: Column, kb: Column) -> Column:
     return 2 * F.least(a, b) / F.greatest(F.lit(1), a + b)
 
 
+def key_similarity(ka: Column, kb: Column, ta: Column, tb: Column) -> Column:
+    """0 to 1 for two label keys and their words."""
+    score = F.greatest(token_floor(ka, kb, ta, tb), ratio(ka, kb))
+    return F.when((ka == "") | (kb == ""), 0.0).when(ka == kb, 1.0).otherwise(score)
+
+
 def label_similarity(a: Column, b: Column) -> Column:
     """0 to 1, for the label a of a page and the wanted name b."""
     ka, kb = label_key(a), label_key(b)
-    score = F.greatest(token_floor(ka, kb, core_tokens(ka), core_tokens(kb)), ratio(ka, kb))
-    return F.when((ka == "") | (kb == ""), 0.0).when(ka == kb, 1.0).otherwise(score)
+    return key_similarity(ka, kb, core_tokens(ka), core_tokens(kb))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from specloom import catalog
 from specloom.config import DEFAULTS, EngineConfig
 from specloom.functions.quantity import label_unit, number_units
-from specloom.functions.similarity import core_tokens, label_similarity, length_bound, token_floor
+from specloom.functions.similarity import core_tokens, key_similarity, length_bound, token_floor
 from specloom.functions.text import PAIR, label_key, lower_words_only, repair, squeeze, text_cells
 
 
@@ -41,15 +41,21 @@ def confidence_of(sim: Column) -> Column:
 
 
 def fuzzy_labels(attrs: DataFrame, labels: DataFrame, threshold: float = DEFAULTS.pool_match) -> DataFrame:
-    """(product_id, attr_idx, label, sim): similarity join within a product over distinct labels.
+    """(product_id, attr_idx, label, sim): similarity join within a product over distinct labels."""
+    pairs = attrs.select("product_id", "attr_idx", F.col("name").alias("attr")).join(labels.select("product_id", "label"), "product_id")
+    return pairs.join(similar(pairs, threshold), ["label", "attr"]).select("product_id", "attr_idx", "label", "sim")
+
+
+def similar(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(label, attr, sim) of the pairs at or above threshold; each distinct pair is measured once.
 
     A native bound (shared words, containment, lengths) keeps hopeless pairs away from the character ratio.
     """
-    pairs = attrs.select("product_id", "attr_idx", F.col("name").alias("attr")).join(labels.select("product_id", "label"), "product_id")
-    pairs = pairs.withColumns({"ka": label_key(F.col("label")), "kb": label_key(F.col("attr"))}).withColumns({"ta": core_tokens(F.col("ka")), "tb": core_tokens(F.col("kb"))})
-    able = F.greatest(token_floor(*map(F.col, ("ka", "kb", "ta", "tb"))), length_bound(F.col("ka"), F.col("kb"))) >= threshold
-    near = pairs.where(able).select("product_id", "attr_idx", "label", "attr")
-    return near.withColumn("sim", label_similarity(F.col("label"), F.col("attr"))).where(F.col("sim") >= threshold).drop("attr")
+    d = pairs.select("label", "attr").distinct().withColumns({"ka": label_key(F.col("label")), "kb": label_key(F.col("attr"))})
+    d = d.withColumns({"ta": core_tokens(F.col("ka")), "tb": core_tokens(F.col("kb"))})
+    keys = [F.col(c) for c in ("ka", "kb", "ta", "tb")]
+    able = F.greatest(token_floor(*keys), length_bound(*keys[:2])) >= threshold
+    return d.where(able).withColumn("sim", key_similarity(*keys)).where(F.col("sim") >= threshold).select("label", "attr", "sim")
 
 
 def groups_of(phrases: DataFrame, column: str) -> DataFrame:
@@ -78,15 +84,20 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def ann_scores(attrs: DataFrame, labels: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(attr, label, score, place) of all pairs of vectors within a key, best first, the larger label first among equals.
+def ann_scores(attrs: DataFrame, labels: DataFrame, keys: list[str] | None = None, top: int = DEFAULTS.rerank_top, itself: bool = True, places: int = 9) -> DataFrame:
+    """(attr, label, score, place) of the `top` best labels of each attribute within a key, the larger label first among equals.
 
-    Without a key, attrs is a request's stated set of at most 100 attributes, which goes past all labels.
+    Without a key, attrs (attr, av) is a stated set of queries that goes in blocks past all labels (label, lv);
+    itself=False leaves out the label of the attribute's own name. Each task keeps `top` pairs an attribute
+    before the shuffle, so what moves grows with the queries and the tasks, not with the pairs. Scores are
+    rounded to `places`, so that equal vectors tie whatever order they are summed in.
     """
-    on = keys or []
-    pairs = attrs.join(labels, on) if on else labels.crossJoin(F.broadcast(attrs))
-    order = Window.partitionBy(*on, "attr").orderBy(F.col("score").desc(), F.col("label").desc())
-    return pairs.withColumn("score", dot(F.col("av"), F.col("lv"))).drop("av", "lv").withColumn("place", F.row_number().over(order))
+    on = [*(keys or []), "attr"]
+    pairs = attrs.join(labels, keys) if keys else labels.join(F.broadcast(attrs))
+    pairs = pairs if itself else pairs.where(F.col("attr") != F.col("label"))
+    order = Window.partitionBy(*on).orderBy(F.col("score").desc(), F.col("label").desc())
+    scored = pairs.select(*on, "label", F.round(dot(F.col("av"), F.col("lv")), places).alias("score"))
+    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
 
 
 def ann_match(scores: DataFrame, rerank: DataFrame | None = None, keys: list[str] | None = None, cfg: EngineConfig = DEFAULTS) -> DataFrame:
@@ -106,11 +117,13 @@ def ann_match(scores: DataFrame, rerank: DataFrame | None = None, keys: list[str
     return clear.unionByName(again.where("r = 1").where(good).select(*on, "label"))
 
 
-def label_candidates(matched: DataFrame, pool: DataFrame, confidence: Column) -> DataFrame:
-    """(product_id, attr_idx, seq, value, unit, confidence, method, url, title, raw_value) of all pool rows with a matched label."""
-    p = with_label_unit(pool)
-    rows = matched.join(p.withColumnRenamed("name", "label"), ["product_id", "label"])
-    return rows.select("product_id", "attr_idx", "seq", F.col("full_value").alias("value"), F.lit(None).cast("string").alias("unit"), confidence.alias("confidence"), F.lit("css_selector").alias("method"), "url", "title", F.col("full_value").alias("raw_value"))
+def label_candidates(matched: DataFrame, pool: DataFrame) -> DataFrame:
+    """(product_id, attr_idx, seq, value, unit, confidence, method, url, title, raw_value, tier, part) of all pool rows with a matched label.
+
+    matched: (product_id, attr_idx, label, confidence, part).
+    """
+    rows = matched.join(with_label_unit(pool).withColumnRenamed("name", "label"), ["product_id", "label"])
+    return rows.select("product_id", "attr_idx", "seq", F.col("full_value").alias("value"), F.lit(None).cast("string").alias("unit"), "confidence", F.lit("css_selector").alias("method"), "url", "title", F.col("full_value").alias("raw_value"), F.lit(0).alias("tier"), "part")
 
 
 #: Words of an axis, and letters that stand for one.

@@ -61,8 +61,12 @@ def rank_sources(results: DataFrame, products: DataFrame | None = None, official
     if official is not None:
         per = per.join(official.select("product_id", F.col("domain").alias("official")), "product_id", "left")
         total = total + F.when(matches_domain(F.col("url"), F.col("official")), 20.0).otherwise(0.0)
-    order = Window.partitionBy("product_id").orderBy(F.col("total").desc(), "seen")
-    return per.withColumn("total", total).withColumn("rank", F.row_number().over(order)).select("product_id", "url", F.coalesce("title", F.lit("")).alias("title"), "total", "rank")
+    return ranked(per.withColumn("total", total), ["product_id"], "seen").select("product_id", "url", F.coalesce("title", F.lit("")).alias("title"), "total", "rank")
+
+
+def ranked(df: DataFrame, keys: list[str], seen: str) -> DataFrame:
+    """df with its rank by total within keys; equal totals keep the order of `seen`."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("total").desc(), seen)))
 
 
 def top_sources(ranked: DataFrame, k: int = DEFAULTS.max_sources) -> DataFrame:

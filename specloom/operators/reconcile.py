@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,40 +37,71 @@ def site(url: Column) -> Column:
     return F.when(url.startswith("searxng://"), url).otherwise(F.coalesce(host(url), F.lower(url)))
 
 
-def clusters(cands: DataFrame, threshold: float = DEFAULTS.cluster) -> DataFrame:
-    """(product_id, attr_idx, key, cluster): each distinct value joins the first cluster whose first value is alike.
+#: What is told of each source of an answer.
+SOURCE = ("cand_idx", "url", "title", "method", "confidence", "raw_value", "unit")
 
-    Equal values come together before, so a group holds distinct values only, in order of first sight.
-    """
-    first = cands.groupBy(*KEYS, value_key(F.col("value")).alias("key")).agg(F.min("cand_idx").alias("first"))
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+def by_value(cands: DataFrame) -> DataFrame:
+    """One row for each distinct value of (product_id, attr_idx): key, first sight, score, best member, sites, members, who said it."""
+    best = F.struct(F.col("confidence"), -F.col("cand_idx"))
+    return cands.groupBy(*KEYS, value_key(F.col("value")).alias("key")).agg(
+        F.min("cand_idx").alias("first"),
+        F.sum(F.col("confidence") * weight(F.col("method"))).alias("score"),
+        F.max_by(F.struct("confidence", (-F.col("cand_idx")).alias("order"), "value", "unit", "method", "url"), best).alias("best"),
+        F.collect_set(site(F.col("url"))).alias("sites"),
+        F.count("*").alias("members"),
+        F.collect_list(F.struct("value", *SOURCE)).alias("said"),
+    )
+
+
+def greedy(threshold: float) -> Callable[[Column], Column]:
+    """The cluster of each value of an array: the first whose first value is alike, else a new one."""
+
+    def one(keys: Iterable[str]) -> list[int]:
         heads: list[str] = []
         out = []
-        for k in pdf.sort_values("first")["key"]:
+        for k in keys:
             at = next((i for i, h in enumerate(heads) if ratio_of(k, h) >= threshold), len(heads))
             if at == len(heads):
                 heads.append(k)
             out.append(at)
-        return pdf.sort_values("first").assign(cluster=out)[[*KEYS, "key", "cluster"]]
+        return out
+
+    return F.pandas_udf(lambda v: pd.Series([one(x) if len(x) > 1 else [0] for x in v]), "array<int>")
+
 
-    return first.groupBy(*KEYS).applyInPandas(greedy, "product_id long, attr_idx int, key string, cluster int")
+def alike(values: DataFrame, threshold: float = DEFAULTS.cluster) -> DataFrame:
+    """values (distinct ones, as of by_value) with the cluster of each, in order of first sight; a group meets Python as one array of its distinct values."""
+    row = [c for c in values.columns if c not in (*KEYS, "first")]
+    g = values.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("first", *row))).alias("v"))
+    g = g.withColumn("cluster", greedy(threshold)(F.transform("v", lambda x: x["key"])))
+    return g.select(*KEYS, F.explode(F.arrays_zip("v", "cluster")).alias("x")).select(*KEYS, "x.v.*", "x.cluster")
 
 
-def vote(cands: DataFrame, clustered: DataFrame) -> DataFrame:
-    """(product_id, attr_idx, value, unit, confidence, url, n_sources) from candidates and the clusters of their keys.
+def equal(values: DataFrame) -> DataFrame:
+    """values of by_value, each a cluster of its own, numbered by first sight: a plan without Python."""
+    return values.withColumn("cluster", F.row_number().over(Window.partitionBy(*KEYS).orderBy("first")) - 1)
+
+
+def clusters(cands: DataFrame, threshold: float = DEFAULTS.cluster) -> DataFrame:
+    """(product_id, attr_idx, key, cluster): each distinct value joins the first cluster whose first value is alike."""
+    first = cands.groupBy(*KEYS, value_key(F.col("value")).alias("key")).agg(F.min("cand_idx").alias("first"))
+    return alike(first, threshold).select(*KEYS, "key", "cluster")
+
+
+def vote(values: DataFrame) -> DataFrame:
+    """(product_id, attr_idx, value, unit, confidence, url, n_sources, sources) from values with their clusters.
 
     The cluster of most confidence times method weight wins, the earlier one among equals. Its share of all,
     less a quarter where the next has 0.7 of it, and no more than its best member's confidence, gains 15 % up
     to 0.97 from two sites or more, else is scaled for its method. Rounded half up to four places.
     """
-    c = cands.withColumn("key", value_key(F.col("value"))).join(clustered, [*KEYS, "key"])
-    best = F.struct(F.col("confidence"), -F.col("cand_idx"))
-    per = c.groupBy(*KEYS, "cluster").agg(
-        F.sum(F.col("confidence") * weight(F.col("method"))).alias("score"),
-        F.max_by(F.struct("value", "unit", "confidence", "method"), best).alias("b"),
-        F.count_distinct(site(F.col("url"))).alias("sites"),
-        F.count("*").alias("members"),
+    per = values.groupBy(*KEYS, "cluster").agg(
+        F.sum("score").alias("score"),
+        F.max("best").alias("b"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("sites")))).alias("sites"),
+        F.sum("members").alias("members"),
+        F.flatten(F.collect_list("said")).alias("said"),
     )
     group = Window.partitionBy(*KEYS)
     order = group.orderBy(F.col("score").desc(), "cluster")
@@ -77,19 +110,12 @@ def vote(cands: DataFrame, clustered: DataFrame) -> DataFrame:
     base = base * F.when(F.col("next") >= 0.7 * F.col("score"), 0.75).otherwise(1.0)
     base = F.least(base, F.col("b.confidence"))
     conf = F.when(F.col("sites") >= 2, F.least(F.lit(0.97), base * 1.15)).otherwise(base * single_factor(F.col("b.method")))
-    won = per.select(*KEYS, "b.value", "b.unit", F.round(conf, 4).alias("confidence"), "n_sources")
-    from_ = c.join(won.select(*KEYS, F.col("value").alias("won")), KEYS).where("value = won").groupBy(*KEYS).agg(F.max_by("url", best).alias("url"), F.sort_array(F.collect_list(F.struct("cand_idx", "url", "title", "method", "confidence", "raw_value", "unit"))).alias("sources"))
-    return won.join(from_, KEYS, "left")
-
-
-def exact_clusters(cands: DataFrame) -> DataFrame:
-    """Clusters of equal values only, numbered by first sight: a plan without Python."""
-    first = cands.groupBy(*KEYS, value_key(F.col("value")).alias("key")).agg(F.min("cand_idx").alias("first"))
-    return first.withColumn("cluster", F.row_number().over(Window.partitionBy(*KEYS).orderBy("first")) - 1).drop("first")
+    told = F.transform(F.filter("said", lambda s: s["value"] == F.col("b.value")), lambda s: F.struct(*[s[c].alias(c) for c in SOURCE]))
+    return per.select(*KEYS, "b.value", "b.unit", F.round(conf, 4).alias("confidence"), "b.url", "n_sources", F.sort_array(told).alias("sources"))
 
 
 def reconcile(cands: DataFrame) -> DataFrame:
-    return vote(cands, clusters(cands))
+    return vote(alike(by_value(cands)))
 
 
 def scale_by_page(cands: DataFrame, weights: DataFrame) -> DataFrame:

@@ -30,12 +30,10 @@ def pool_candidates(attrs: DataFrame, pool: DataFrame, vectors: DataFrame | None
     if vectors is not None:
         more = attrs.join(meant, KEYS, "left_anti").join(vectors.withColumnRenamed("attr", "name"), ["product_id", "name"]).select(*KEYS, "label")
         meant = meant.unionByName(more)
-    parts = [
-        matching.label_candidates(fuzzy, pool, matching.confidence_of(F.col("sim"))).withColumns({"tier": F.lit(0), "part": F.lit(0)}),
-        matching.label_candidates(meant, pool, F.lit(0.80)).withColumns({"tier": F.lit(0), "part": F.lit(1)}),
-        matching.dimension_candidates(attrs, pool).withColumns({"tier": F.lit(1), "part": F.lit(2)}),
-    ]
-    return number_candidates(lowest_tier(parts[0].unionByName(parts[1]).unionByName(parts[2])))
+    labelled = fuzzy.select(*KEYS, "label", matching.confidence_of(F.col("sim")).alias("confidence"), F.lit(0).alias("part"))
+    labelled = labelled.unionByName(meant.select(*KEYS, "label", F.lit(0.80).alias("confidence"), F.lit(1).alias("part")))
+    split = matching.dimension_candidates(attrs, pool).withColumns({"tier": F.lit(1), "part": F.lit(2)})
+    return number_candidates(lowest_tier(matching.label_candidates(labelled, pool).unionByName(split)))
 
 
 def assemble(attrs: DataFrame, voted: DataFrame, normalised: DataFrame | None = None) -> DataFrame:

@@ -151,17 +151,16 @@ SELECT host, page_id, rank FROM (SELECT regexp_replace(lower(regexp_extract(url,
   (row_number() OVER (PARTITION BY regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.', '') ORDER BY strlen(html) DESC, page_id))::INT AS rank FROM pages)
 WHERE rank <= 5""")
 def top_per_host(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("host").orderBy(F.octet_length("html").desc(), "page_id")
-    p = table(spark, d, "pages").withColumn("host", urls.bare_host(F.col("url")))
-    return p.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("host", "page_id", "rank")
+    p = table(spark, d, "pages").select(urls.bare_host(F.col("url")).alias("host"), "page_id", F.octet_length("html").alias("total"))
+    return ranking.top_sources(ranking.ranked(p, ["host"], "page_id")).select("host", "page_id", "rank")
 
 
 @query("""
 WITH t AS (SELECT p_partkey, list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+(?:-[a-z0-9]+)*'), lambda x: length(x) > 1) AS n,
-  list_distinct(regexp_extract_all(lower(p_type || ' ' || p_name), '[a-z0-9]+(?:-[a-z0-9]+)*')) AS t FROM part WHERE p_partkey % 2 = 0)
+  list_distinct(regexp_extract_all(lower(p_type || ' ' || p_name), '[a-z0-9]+(?:-[a-z0-9]+)*')) AS t FROM part)
 SELECT p_partkey AS product_id, round(CASE WHEN len(n) = 0 THEN 0 ELSE len(list_filter(n, lambda x: list_contains(t, x))) / len(n) END, 6)::DOUBLE AS coverage FROM t""")
 def relevance_coverage(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), F.col("p_name").alias("search"), F.concat_ws(" ", "p_type", "p_name").alias("title"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), F.col("p_name").alias("search"), F.concat_ws(" ", "p_type", "p_name").alias("title"))
     return ranking.relevance_parts(p).select("product_id", F.round("coverage", 6).alias("coverage"))
 
 
@@ -174,14 +173,14 @@ def relevance(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT a.vec_id AS attr, b.vec_id AS label, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings a, embeddings b WHERE a.vec_id < 50 AND b.vec_id >= 50),
+  FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY attr ORDER BY score DESC, label DESC) AS k, lead(score) OVER (PARTITION BY attr ORDER BY score DESC, label DESC) AS next FROM s)
 SELECT attr, label FROM r WHERE k = 1 AND score >= 0.35 AND score - coalesce(next, -1) >= 0.02""")
 def ann_match(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    a = e.where("vec_id < 50").select(F.col("vec_id").alias("attr"), F.col("embedding").alias("av"))
-    b = e.where("vec_id >= 50").select(F.col("vec_id").alias("label"), F.col("embedding").alias("lv"))
-    scores = matching.ann_scores(a, b).withColumn("score", F.round("score", 6))
+    a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("attr"), F.col("embedding").alias("av"))
+    b = e.select(F.col("vec_id").alias("label"), F.col("embedding").alias("lv"))
+    scores = matching.ann_scores(a, b, itself=False, places=6)
     return matching.ann_match(scores, cfg=EngineConfig(ann_accept=0.35, ann_margin=0.02))
 
 
@@ -217,11 +216,12 @@ def label_unit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(no|not|none|without)\\b') AND NOT regexp_matches(lower(text), '^(yes|true|present|supported|available)\\b') THEN 'false'
-  WHEN regexp_matches(lower(text), '^(yes|true|present|supported|available)\\b') THEN 'true' WHEN length(text) <= 80 THEN 'true' END AS value
-FROM (SELECT conv_id, turn, regexp_replace(left(text, 60), '[^A-Za-z ]', '', 'g') AS text FROM conversations) WHERE regexp_matches(text, '^[A-Za-z]')""")
+SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '^(yes|true|present|supported|available)( |$)') THEN 'true'
+  WHEN regexp_matches(lower(text), '\\b(no|not|none|without)\\b') OR regexp_matches(lower(text), '^(false|absent|unsupported)( |$)') THEN 'false'
+  WHEN length(text) <= 80 THEN 'true' END AS value
+FROM (SELECT conv_id, turn, trim(regexp_replace(text, '[^A-Za-z ]', '', 'g')) AS text FROM conversations) WHERE regexp_matches(text, '^[A-Za-z]')""")
 def to_boolean(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.left("text", F.lit(60)), "[^A-Za-z ]", "").alias("text")).where(F.col("text").rlike("^[A-Za-z]"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.trim(F.regexp_replace("text", "[^A-Za-z ]", "")).alias("text")).where(F.col("text").rlike("^[A-Za-z]"))
     return c.select("conv_id", "turn", values.to_boolean(F.col("text")).alias("value"))
 
 
@@ -279,7 +279,7 @@ b AS (SELECT *, least(score / total * CASE WHEN next >= 0.7 * score THEN 0.75 EL
 SELECT p AS product_id, v AS value, round(CASE WHEN sites >= 2 THEN least(0.97, base * 1.15) ELSE base * CASE m WHEN 2 THEN 0.95 WHEN 3 THEN 0.85 ELSE 1 END END, 4)::DOUBLE AS confidence, n_sources::BIGINT AS n_sources FROM b""")
 def weighted_vote(spark: SparkSession, d: str) -> DataFrame:
     c = _line_candidates(spark, d)
-    return reconcile.vote(c, reconcile.exact_clusters(c)).select("product_id", "value", "confidence", "n_sources")
+    return reconcile.vote(reconcile.equal(reconcile.by_value(c))).select("product_id", "value", "confidence", "n_sources")
 
 
 @query("SELECT l_partkey AS product_id, l_returnflag AS value, count(DISTINCT l_suppkey)::BIGINT AS sites FROM lineitem GROUP BY 1, 2")
@@ -313,9 +313,9 @@ def productive_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS grp FROM conversations""")
+SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS grp FROM conversations""")
 def carry_heading(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").withColumn("h", F.when(F.col("role") == "user", F.left("text", F.lit(20))))
+    c = table(spark, d, "conversations").withColumn("h", F.when(F.col("role") == "user", F.col("text")))
     return specs.carry_heading(c, ["conv_id"], "turn", "h").select("conv_id", "turn", "grp")
 
 

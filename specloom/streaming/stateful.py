@@ -104,8 +104,8 @@ def live_entries(cache: DataFrame, now: Column, ttl_s: float) -> DataFrame:
 
 
 def cache_key() -> Column:
-    """Lower-cased identifiers, attribute and options of a request; category is part of it, unlike a name alone."""
-    names = ("name", "category", "brand", "article", "mpn", "ean13", "upc", "attr", "type", "unit")
+    """Lower-cased identifiers, attribute and options of a request; its category is no part of it."""
+    names = ("name", "brand", "article", "mpn", "ean13", "upc", "attr", "type", "unit")
     return F.xxhash64(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in names], F.transform(F.coalesce("allowed", F.array().cast("array<string>")), F.lower))
 
 
