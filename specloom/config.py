@@ -15,6 +15,8 @@ class EngineConfig:
     cluster: float = 0.72
     model_gate: float = 0.8
     weak_result: float = 0.4
+    model_pages: int = 3
+    targeted_urls: int = 2
     productive_pages: int = 3
     rich_pool: int = 40
     sparse_pool: int = 30

@@ -10,6 +10,7 @@ from specloom.config import DEFAULTS, EngineConfig
 from specloom.functions.quantity import label_unit, number_units
 from specloom.functions.similarity import core_tokens, key_similarity, length_bound, token_floor
 from specloom.functions.text import PAIR, label_key, lower_words_only, repair, squeeze, text_cells
+from specloom.sources.tables import Provider
 
 
 def text_pool(texts: DataFrame) -> DataFrame:
@@ -117,6 +118,17 @@ def ann_match(scores: DataFrame, rerank: DataFrame | None = None, keys: list[str
     return clear.unionByName(again.where("r = 1").where(good).select(*on, "label"))
 
 
+def semantic_labels(attrs: DataFrame, labels: DataFrame, provider: Provider, rerank: bool = True, cfg: EngineConfig = DEFAULTS) -> DataFrame:
+    """(product_id, attr, label): labels that mean an attribute by a provider's vectors, near ties by its reranking."""
+    names = attrs.select(F.col("name").alias("text")).unionByName(labels.select(F.col("label").alias("text")))
+    v = provider.embed(names)
+    a = attrs.select("product_id", F.col("name").alias("attr")).join(v.select(F.col("text").alias("attr"), F.col("vector").alias("av")), "attr")
+    b = labels.select("product_id", "label").join(v.select(F.col("text").alias("label"), F.col("vector").alias("lv")), "label")
+    scores = ann_scores(a, b, ["product_id"], cfg.rerank_top)
+    again = scores.select("product_id", "attr", "label").join(provider.rerank(scores.select("attr", "label")), ["attr", "label"]) if rerank else None
+    return ann_match(scores, again, ["product_id"], cfg)
+
+
 def label_candidates(matched: DataFrame, pool: DataFrame) -> DataFrame:
     """(product_id, attr_idx, seq, value, unit, confidence, method, url, title, raw_value, tier, part) of all pool rows with a matched label.
 

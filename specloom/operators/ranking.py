@@ -128,6 +128,29 @@ def query_templates(products: DataFrame, attribute: str | None = None) -> DataFr
     return first.withColumn("query_idx", F.row_number().over(Window.partitionBy("product_id").orderBy("i")) - 1).where("query_idx < 3").select("product_id", "query_idx", "query")
 
 
+#: Shops with uniform tables of specifications.
+SHOPS = "site:hotline.ua OR site:rozetka.com.ua OR site:ek.ua"
+
+
+def spec_queries(products: DataFrame, official: DataFrame | None = None, most: int = 4) -> DataFrame:
+    """(product_id, query_idx, query) for all specifications: the maker's site, bar code, both languages, shops; none twice, `most` at most.
+
+    official (product_id, domain) keeps to that site: its pages of the name, then of specifications.
+    """
+    s, code = search_string(), F.coalesce(present(F.col("ean13")), present(F.col("upc")))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    makers = official_domains(products).where("pos = 0").select("product_id", F.col("domain").alias("maker"))
+    p = products.join(makers, "product_id", "left")
+    p = p.join(official.select("product_id", "domain"), "product_id", "left") if official is not None else p.withColumn("domain", F.lit(None).cast("string"))
+    own = F.concat(F.lit("site:"), "domain", F.lit(" "))
+    at_site = F.array(F.concat(own, quoted(F.col("name"))), F.concat(own, s, F.lit(" specifications")))
+    open_ = F.array(F.concat(F.lit("site:"), "maker", F.lit(" "), "name"), F.concat(quoted(code), F.lit(" specifications")), F.concat(s, F.lit(" specifications")), F.concat(s, F.lit(" характеристики")), F.concat(s, F.lit(f" {SHOPS}")))
+    made = F.transform(F.array_compact(F.when(F.col("domain").isNotNull(), at_site).otherwise(open_)), F.trim)
+    q = p.select("product_id", F.posexplode(made).alias("i", "query")).where("query <> ''")
+    first = q.withColumn("r", F.row_number().over(Window.partitionBy("product_id", F.lower("query")).orderBy("i"))).where("r = 1")
+    return first.withColumn("query_idx", F.row_number().over(Window.partitionBy("product_id").orderBy("i")) - 1).where(F.col("query_idx") < most).select("product_id", "query_idx", "query")
+
+
 def _tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+(?:-[a-z0-9]+)*"), F.lit(0))
 

@@ -131,7 +131,8 @@ def lowest_tier(cands: DataFrame) -> DataFrame:
 
 def better_of(old: DataFrame, new: DataFrame) -> DataFrame:
     """The new answer where there was none or its confidence is higher, else the old one."""
-    n = new.select(*KEYS, F.struct("value", "unit", "confidence", "url").alias("n"))
+    cols = [c for c in ("value", "unit", "confidence", "url", "n_sources", "sources") if c in old.columns]
+    n = new.select(*KEYS, F.struct(*cols).alias("n"))
     j = old.join(n, KEYS, "left")
     take = F.col("n.value").isNotNull() & (F.col("value").isNull() | (F.col("n.confidence") > F.col("confidence")))
-    return j.select(*KEYS, *[F.when(take, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in ("value", "unit", "confidence", "url")])
+    return j.select(*[F.when(take, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in old.columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,20 @@ def first_boxes(responses: DataFrame, column: str) -> DataFrame:
     return responses.where(F.size(column) > 0).groupBy("product_id").agg(F.min_by(column, "query_idx").alias(column))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the folder of checkpoints, so that plans built on it stay small and survive lost executors.
+
+    The folder is the session's; where spark.checkpoint.dir names none, a session on one machine gets a temporary one.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="specloom-checkpoint-"))
+    return df.checkpoint()
+
+
 class Provider(Protocol):
     """What models give, as DataFrames; without one the deterministic steps stand alone."""
 
@@ -53,6 +68,30 @@ class Provider(Protocol):
         """(product_id, attr_idx, value, unit, matched, confidence)."""
 
 
+class TableProvider:
+    """A provider whose models have answered beforehand: vectors (text, vector), scores (attr, label, rerank), replies (product_id, reply).
+
+    What a table lacks is what a model that failed gives: nothing.
+    """
+
+    def __init__(self, vectors: DataFrame | None = None, scores: DataFrame | None = None, replies: DataFrame | None = None):
+        self.vectors, self.scores, self.replies = vectors, scores, replies
+
+    def embed(self, texts: DataFrame) -> DataFrame:
+        """(text, vector) of length 1; a vector of zeros has no direction and counts as none."""
+        v = texts.select("text").distinct().join(self.vectors, "text")
+        norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+        return v.withColumn("_n", norm).where("_n > 0").select("text", F.transform("vector", lambda x: x / F.col("_n")).alias("vector"))
+
+    def rerank(self, pairs: DataFrame) -> DataFrame:
+        return pairs.select("attr", "label").distinct().join(self.scores, ["attr", "label"])
+
+    def normalise(self, values: DataFrame) -> DataFrame:
+        from specloom.sources import replies
+
+        return replies.normalised(values, self.replies)
+
+
 def parse_reply(reply: str) -> Column:
     """A model's answer as a variant, without the fence around it; null where it is no JSON."""
     return F.try_parse_json(F.trim(F.regexp_replace(F.col(reply), r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")))

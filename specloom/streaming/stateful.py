@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RATE_ROW = "client string, event_id long, ts double, allowed boolean, retry_after int"
 
@@ -64,6 +66,21 @@ def pacing(calls: DataFrame, keys: list[str], interval_s: float) -> DataFrame:
     return df.withColumn("at", slack + F.col("_i") * interval_s).drop("_i")
 
 
+def paced_slots(calls: DataFrame, keys: list[str], interval_s: float, slots: int = 2) -> DataFrame:
+    """calls (keys, event_id, ts, took) with `at`: interval_s after the one before, and not before one of `slots` is free."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, last, ends, out = pdf.sort_values(["ts", "event_id"]), float("-inf"), [float("-inf")] * slots, []
+        for t, took in zip(pdf["ts"], pdf["took"], strict=True):
+            last = max(t, last + interval_s, heapq.heappop(ends))
+            heapq.heappush(ends, last + took)
+            out.append(last)
+        return pdf.assign(at=out)
+
+    schema = T.StructType([*calls.select(*keys, "event_id", "ts", "took").schema.fields, T.StructField("at", T.DoubleType())])
+    return calls.select(*keys, "event_id", "ts", "took").groupBy(*keys).applyInPandas(fold, schema)
+
+
 def breaker(calls: DataFrame, failures: int = 2, open_s: float = 120.0) -> DataFrame:
     """(service, event_id, ts, kind, rejected) of calls whose kind is ok, refused (no connection) or other.
 

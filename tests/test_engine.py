@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from specloom.functions import quantity, similarity, text, urls, values
-from specloom.operators import matching, ranking, reconcile, resolve, specs
-from specloom.plans import queries
-from specloom.sources import html
+from specloom.operators import attribute, benchmark, matching, ranking, reconcile, resolve, specs
+from specloom.plans import attributes, queries  # noqa: F401  attributes registers its queries
+from specloom.sources import html, targeted
 from specloom.streaming import stateful
 
 SF = "/root/testdata/sf0.001"
@@ -159,6 +159,38 @@ def test_ann_tiers(spark):
     assert {tuple(r) for r in matching.ann_match(scores, rerank).collect()} == {("a", 0), ("c", 1)}
 
 
+def test_safe_redirects_and_first_answers_of_nothing(spark):
+    hops = spark.createDataFrame([(1, 0, None), (2, 0, "https://a.example/")], "fetch_id long, hop int, url string")
+    assert [tuple(r) for r in attribute.safe_redirects(hops).collect()] == [(2, "https://a.example/", 0)]
+    tries = spark.createDataFrame([(1, 0, 0, None), (1, 0, 1, []), (2, 0, 1, ["x"]), (2, 0, 0, []), (2, 0, 2, ["y"])], "product_id long, query_idx int, attempt int, hits array<string>")
+    assert sorted((r.product_id, r.attempt, r.hits) for r in attribute.first_answered(tries).collect()) == [(1, 1, []), (2, 1, ["x"])]
+
+
+def test_answers_are_checked(spark):
+    rows = [("7,1 kg", "number", [7.0], None, None, True), ("none", "number", [7.0], None, None, False), (None, "number", [7.0], None, None, False), ("Wi‑Fi 6", "contains", None, ["wi-fi"], None, True), ("", "contains", None, [""], None, True), ("Ні", "boolean", None, None, False, True), ("ТАК", "boolean", None, None, True, True), ("", "boolean", None, None, False, False)]
+    df = spark.createDataFrame(rows, "value string, kind string, numbers array<double>, needles array<string>, truth boolean, want boolean")
+    out = benchmark.checked(df).collect()
+    assert [r.correct for r in out if r.value] == [r.want for r in out if r.value]
+    assert benchmark.score(benchmark.checked(df.limit(0))).collect()[0].correct_pct == 0.0
+
+
+def test_selectors():
+    root = html.parse('<div class="a b"><table class="t"><tr><td>1</td><td class="x">2</td><td>3</td></tr></table></div><td>4</td>')
+    assert [n.text() for n in targeted.select(root, "table.t td:first-child")] == ["1"]
+    assert [n.text() for n in targeted.select(root, "div.b tr td:last-child")] == ["3"]
+    assert [n.text() for n in targeted.select(root, "[class*=x]")] == ["2"]
+    assert targeted.select(root, "section td") == []
+
+
+def test_attributes_of_nothing(spark):
+    pages = spark.createDataFrame([(1, 1, 1, "https://a.example/", None, None)], "product_id long, page_id long, page_rank int, url string, title string, html string")
+    products = spark.createDataFrame([(1, "Name 12", *[None] * 6)], "product_id long, name string, category string, brand string, article string, mpn string, ean13 string, upc string")
+    attrs = spark.createDataFrame([(1, 0, "Size")], "product_id long, attr_idx int, name string")
+    out = attribute.get_attribute(products, attrs, pages).collect()
+    assert [(r.value, r.confidence, r.status) for r in out] == [(None, 0.0, "not_found")]
+    assert attribute.get_attribute(products, attrs, pages.limit(0)).collect()[0].status == "not_found"
+
+
 def test_state(spark):
     hits = spark.createDataFrame([("u", i, float(t)) for i, t in enumerate((0, 10, 20, 61))], "client string, event_id long, ts double")
     assert [(r.allowed, r.retry_after) for r in stateful.rate_limit(hits, 2, 60.0).orderBy("event_id").collect()] == [(True, 0), (True, 0), (False, 40), (True, 0)]
