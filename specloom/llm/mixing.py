@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from specloom.llm.common import cut, documents, mark, n_words
 
-#: A source's documents are dealt over shards of about this many words, so that no task orders a whole source.
-SHARD_WORDS = 4_000_000
+#: A source's documents are dealt over shards of about this many words, or rows where texts are short, so that no task orders a whole source.
+SHARD_WORDS, SHARD_ROWS = 4_000_000, 250_000
 BLOCK_WORDS = 16
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
@@ -61,11 +61,11 @@ def apportion(votes: DataFrame, keys: list[str], unit: Column, seats: str) -> Da
     return out.select("a.*", (F.col("a.q0") + F.coalesce("b.won", F.lit(0))).alias("quota")).drop("u", "sum_v", "k", "q0", "q1", "open")
 
 
-def mix(docs: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """Return (doc_id, size, source_size, target, taken), one row for each row of docs.
 
     size is the number of words. Each source's words are dealt by a seeded hash over shards of about
-    shard_words words; blocks of block_words words are apportioned to the sources by their targets and then to
+    shard_words words or shard_rows rows; blocks of block_words words are apportioned to the sources by their targets and then to
     each source's shards by their words, both by highest quotients. A shard is the endless repetition of its
     documents in seeded order, and its quota is that many whole blocks from the start: full repeats and then a
     seeded part. taken is what of it falls in the document, at most `most` times its size.
@@ -74,25 +74,29 @@ def mix(docs: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS, shard_wo
     repeated rows and null ids are rows like others. An empty table gives no rows. Only (doc_id, source,
     size) is shuffled, never a text; each task orders one shard.
     """
-    rows = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
-    totals = mark(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
+    rows = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("digest")), "mix-sizes")
+    sources = mark(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("rows")))
+    totals = mark(source_targets(sources.select("source", "source_size"), weights, most))
     blocks = totals.withColumns({"v": F.col("target"), "cap": F.floor(F.lit(most) * F.col("source_size") / block_words), "one": F.lit(1)})
     blocks = blocks.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy("one")) / block_words).cast("long"))
     blocks = apportion(blocks, ["one"], F.struct(F.col("source").isNull(), "source"), "seats").withColumnRenamed("quota", "source_blocks")
-    blocks = mark(blocks.select("source", "source_size", "target", "source_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("shards")))
-    dealt = F.xxhash64(F.lit(seed), "doc_id", "size")
-    placed = rows.alias("r").join(blocks.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "s.source_size", "s.target", "s.source_blocks", F.pmod(dealt, F.col("s.shards")).alias("shard"))
+    shards = F.greatest(F.lit(1), F.ceil(F.col("b.source_size") / shard_words), F.ceil(F.col("s.rows") / shard_rows)).cast("long")
+    blocks = mark(blocks.alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.source", "b.source_size", "target", "source_blocks", shards.alias("shards")))
+    dealt = F.xxhash64(F.lit(seed), "doc_id", "size", "digest")
+    told = rows.alias("r").join(blocks.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "s.source_size", "s.target", "s.source_blocks", F.pmod(dealt, F.col("s.shards")).alias("shard"))
+    placed = told.where("size > 0")
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("source_blocks").alias("source_blocks"))
     shards = shards.withColumns({"v": F.col("words").cast("double"), "cap": F.floor(F.lit(most) * F.col("words") / block_words)})
     quotas = apportion(shards, ["source"], F.col("shard"), "source_blocks").select("source", "shard", "words", (F.col("quota") * block_words).alias("quota_words"))
-    drawn = F.xxhash64(F.lit(seed + 1), "doc_id", "size")
-    order = Window.partitionBy("source", "shard").orderBy(drawn, "doc_id", "size")
+    drawn = F.xxhash64(F.lit(seed + 1), "doc_id", "size", "digest")
+    order = Window.partitionBy("source", "shard").orderBy(drawn, "doc_id", "size", "digest")
     ends = placed.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     same = F.col("e.source").eqNullSafe(F.col("q.source")) & (F.col("e.shard") == F.col("q.shard"))
     whole = F.expr("q.quota_words div q.words")
     part = F.least(F.col("e.size"), F.greatest(F.lit(0), F.pmod(F.col("q.quota_words"), F.col("q.words")) - (F.col("e.end") - F.col("e.size"))))
-    taken = F.when(F.col("e.size") == 0, F.lit(0)).otherwise(whole * F.col("e.size") + part)
-    return ends.alias("e").join(quotas.alias("q"), same).select("e.doc_id", "e.size", "e.source_size", "e.target", taken.cast("long").alias("taken"))
+    taken = (whole * F.col("e.size") + part).cast("long")
+    drawn_rows = ends.alias("e").join(quotas.alias("q"), same).select("e.doc_id", "e.size", "e.source_size", "e.target", taken.alias("taken"))
+    return drawn_rows.unionByName(told.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,10 @@ FLOORS = (1.0, 0.5, 0.1, 0.15, 0.15)
 SUPPORT, CUTOFF = 0.75, 40.9
 #: SUPPORT quantile of chi squared with 5 degrees of freedom.
 CHI2_SUPPORT = 6.626
+#: Bins of the logarithm of a squared distance.
 BINS = 64
+#: Concentration steps from each start; then at most so many in all, until no log determinant moves by STAYS.
+FIRST_STEPS, MOST_STEPS, STAYS = 2, 12, 1e-5
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -74,7 +77,7 @@ def _features(base: DataFrame) -> DataFrame:
 
 
 def _cholesky(est: DataFrame) -> DataFrame:
-    """(lang, source, m0.., l00.., log_det) from (lang, source, m0.., c00..): the lower factor of each covariance."""
+    """(lang, source, start, m0.., l00.., log_det) from (lang, source, start, m0.., c00..): the lower factor of each covariance."""
     p = len(STATS)
     for i in range(p):
         for j in range(i + 1):
@@ -82,7 +85,7 @@ def _cholesky(est: DataFrame) -> DataFrame:
             est = est.withColumn(f"l{i}{j}", F.sqrt(F.greatest(s, F.lit(1e-12))) if i == j else s / F.col(f"l{j}{j}"))
     log_det = sum((F.log(F.col(f"l{i}{i}")) for i in range(p)), F.lit(0.0))
     kept = [F.round(f"m{i}", 9).alias(f"m{i}") for i in range(p)] + [F.round(f"l{i}{j}", 9).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)]
-    return est.select("lang", "source", *kept, F.round(log_det, 9).alias("log_det"))
+    return est.select("lang", "source", "start", *kept, F.round(log_det, 9).alias("log_det"))
 
 
 def _same(a: str, b: str) -> Column:
@@ -100,14 +103,16 @@ def _distances(x: DataFrame, est: DataFrame) -> DataFrame:
 
 
 def _support(d: DataFrame) -> DataFrame:
-    """(lang, source, edge, n): the bin of d2 in which SUPPORT of the group's documents are reached.
+    """(lang, source, start, edge, share): the bin of d2 in which SUPPORT of the group's documents are reached, and the share of it that is needed.
 
     Counts per bin are exact and merge map-side, so a group of any size comes to a few hundred rows.
     """
-    counts = d.groupBy("lang", "source", _bin().alias("bin")).agg(F.count("*").alias("c"))
-    group = Window.partitionBy("lang", "source")
-    counts = counts.withColumns({"n": F.sum("c").over(group), "upto": F.sum("c").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))})
-    return counts.where(F.col("upto") >= F.ceil(SUPPORT * F.col("n"))).groupBy("lang", "source").agg(F.min("bin").alias("edge"), F.first("n").alias("n"))
+    keys = ["lang", "source", "start"]
+    counts = d.groupBy(*keys, _bin().alias("bin")).agg(F.count("*").alias("c"))
+    group = Window.partitionBy(*keys)
+    counts = counts.withColumns({"h": F.ceil(SUPPORT * F.sum("c").over(group)), "upto": F.sum("c").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))})
+    e = counts.where(F.col("upto") >= F.col("h")).groupBy(*keys).agg(F.min(F.struct("bin", "c", "upto", "h")).alias("e"))
+    return e.select(*keys, F.col("e.bin").alias("edge"), ((F.col("e.h") - F.col("e.upto") + F.col("e.c")) / F.col("e.c")).alias("share"))
 
 
 def _bin() -> Column:
@@ -115,51 +120,71 @@ def _bin() -> Column:
 
 
 def _c_step(x: DataFrame, est: DataFrame) -> DataFrame:
-    """Concentrate once: mean and covariance of the SUPPORT share of documents nearest to the last estimate."""
+    """Concentrate once: mean and covariance of the SUPPORT share of documents nearest to the last estimate.
+
+    The documents of the edge bin, whose distances differ by 1 in BINS at most, all count with the share that
+    makes up the rest, so every subset weighs the same, whatever ties there are, and determinants compare.
+    """
     p = len(STATS)
     d = _distances(x, est)
-    inner = d.alias("d").join(_support(d).alias("s"), _same("d", "s")).where(_bin() <= F.col("s.edge")).select("d.*")
+    inner = d.alias("d").join(_support(d).alias("s"), _same("d", "s") & (F.col("d.start") == F.col("s.start"))).where(_bin() <= F.col("s.edge"))
+    inner = inner.select("d.*", F.when(_bin() == F.col("s.edge"), F.col("s.share")).otherwise(1.0).alias("w"))
     c = [F.col(STATS[i]) - F.col(f"m{i}") for i in range(p)]
-    sums = {f"s{i}": F.avg(c[i]) for i in range(p)} | {f"s{i}{j}": F.avg(c[i] * c[j]) for i in range(p) for j in range(i, p)} | {f"m{i}": F.first(f"m{i}") for i in range(p)}
-    g = inner.groupBy("lang", "source").agg(*[v.alias(k) for k, v in sums.items()])
+    mean = lambda v: F.sum(F.col("w") * v) / F.sum("w")
+    sums = {f"s{i}": mean(c[i]) for i in range(p)} | {f"s{i}{j}": mean(c[i] * c[j]) for i in range(p) for j in range(i, p)} | {f"m{i}": F.first(f"m{i}") for i in range(p)}
+    g = inner.groupBy("lang", "source", "start").agg(*[v.alias(k) for k, v in sums.items()])
     cov = {f"c{i}{j}": F.col(f"s{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}") + F.lit(FLOORS[i] ** 2 if i == j else 0.0) for i in range(p) for j in range(i, p)}
-    g = g.select("lang", "source", *[(F.col(f"m{i}") + F.col(f"s{i}")).alias(f"m{i}") for i in range(p)], *[v.alias(k) for k, v in cov.items()])
+    g = g.select("lang", "source", "start", *[(F.col(f"m{i}") + F.col(f"s{i}")).alias(f"m{i}") for i in range(p)], *[v.alias(k) for k, v in cov.items()])
     return mark(_cholesky(g))
 
 
-def _starts(x: DataFrame) -> list[DataFrame]:
-    """Two deterministic starts: medians with absolute deviations, and medians with the spatial sign covariance."""
+def _starts(x: DataFrame) -> DataFrame:
+    """Two deterministic starts a group: medians with absolute deviations, and medians with the spatial sign covariance."""
     p = len(STATS)
     med = mark(x.groupBy("lang", "source").agg(*[F.percentile_approx(s, 0.5, 1000).alias(f"m{i}") for i, s in enumerate(STATS)]))
     near = x.alias("x").join(med.alias("e"), _same("x", "e")).select("x.*", *[f"e.m{i}" for i in range(p)])
     mad = mark(near.groupBy("lang", "source").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], *[F.percentile_approx(F.abs(F.col(s) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, s in enumerate(STATS)]))
     scale = [F.sqrt((1.4826 * F.col(f"a{i}")) ** 2 + FLOORS[i] ** 2) for i in range(p)]
     means = [f"m{i}" for i in range(p)]
-    plain = mad.select("lang", "source", *means, *[(scale[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(p) for j in range(i, p)])
+    plain = mad.select("lang", "source", F.lit(0).alias("start"), *means, *[(scale[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(p) for j in range(i, p)])
     u = x.alias("x").join(mad.alias("e"), _same("x", "e")).select("x.*", *means, *[s.alias(f"z{i}") for i, s in enumerate(scale)])
     u = u.withColumns({f"u{i}": (F.col(s) - F.col(f"m{i}")) / F.col(f"z{i}") for i, s in enumerate(STATS)})
     u = u.withColumn("r2", sum((F.col(f"u{i}") ** 2 for i in range(p)), F.lit(1e-12)))
     sign = u.groupBy("lang", "source").agg(*[F.first(m).alias(m) for m in means], *[F.first(f"z{i}").alias(f"z{i}") for i in range(p)], *[F.avg(F.col(f"u{i}") * F.col(f"u{j}") / F.col("r2")).alias(f"c{i}{j}") for i in range(p) for j in range(i, p)])
-    sign = sign.select("lang", "source", *means, *[(p * F.col(f"c{i}{j}") * F.col(f"z{i}") * F.col(f"z{j}") + F.lit(FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(p) for j in range(i, p)])
-    return [mark(_cholesky(plain)), mark(_cholesky(sign))]
+    sign = sign.select("lang", "source", F.lit(1).alias("start"), *means, *[(p * F.col(f"c{i}{j}") * F.col(f"z{i}") * F.col(f"z{j}") + F.lit(FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(p) for j in range(i, p)])
+    return mark(_cholesky(plain.unionByName(sign)))
+
+
+def _best(est: DataFrame) -> DataFrame:
+    """The start of least determinant for each language and source."""
+    cols = [c for c in est.columns if c not in ("lang", "source")]
+    return est.groupBy("lang", "source").agg(F.min_by(F.struct(*cols), F.struct("log_det", "start")).alias("e")).select("lang", "source", "e.*")
+
+
+def _moved(a: DataFrame, b: DataFrame) -> float:
+    """The most that a log determinant differs by."""
+    j = a.alias("a").join(b.alias("b"), _same("a", "b") & (F.col("a.start") == F.col("b.start")))
+    return j.agg(F.max(F.abs(F.col("a.log_det") - F.col("b.log_det")))).first()[0] or 0.0
 
 
-def mcd(x: DataFrame, first_steps: int = 2, last_steps: int = 2) -> DataFrame:
-    """(lang, source, m0.., l.., log_det, factor): the estimate of least determinant for each language and source.
+def mcd(x: DataFrame, most_steps: int = MOST_STEPS) -> DataFrame:
+    """(lang, source, start, m0.., l.., log_det, factor): the estimate of least determinant for each language and source.
 
-    Concentration steps run from both starts, the smaller determinant of each group goes on. factor makes
-    distances consistent: the SUPPORT quantile of d2 over that of chi squared, never under 1.
+    Concentration steps run from both starts at once; after FIRST_STEPS the smaller determinant of each group
+    goes on until no determinant moves, most_steps at most. Each covariance is that of the subset plus the
+    squares of FLOORS on its diagonal, a regularised determinant, so that statistics that are constant in a
+    group neither break it nor make outliers of the first that differ. factor makes distances consistent: the
+    SUPPORT quantile of d2 over that of chi squared, never under 1.
     """
-    found = []
-    for est in _starts(x):
-        for _ in range(first_steps):
-            est = _c_step(x, est)
-        found.append(est)
-    cols = [c for c in found[0].columns if c not in ("lang", "source")]
-    both = found[0].unionByName(found[1]).groupBy("lang", "source").agg(F.min_by(F.struct(*cols), F.col("log_det")).alias("e"))
-    est = both.select("lang", "source", "e.*")
-    for _ in range(last_steps):
-        est = _c_step(x, est)
+    est = _starts(x)
+    for step in range(most_steps):
+        new = _c_step(x, est)
+        if step == FIRST_STEPS - 1:
+            new = mark(_best(new))
+        still = step >= FIRST_STEPS and _moved(new, est) <= STAYS
+        est = new
+        if still:
+            break
     edge = _support(_distances(x, est))
     factor = F.greatest(F.lit(1.0), F.exp((F.col("s.edge") + 1) / BINS) / CHI2_SUPPORT)
     return mark(est.alias("e").join(edge.alias("s"), _same("e", "s")).select("e.*", factor.alias("factor")))

@@ -76,18 +76,58 @@ def test_op1_outliers_go_and_the_rest_stays(spark):
     assert all(out[i].kept for i in range(200))
 
 
-def test_op1_estimate_matches_numpy(spark):
+def plain_distances(v):
+    """d2 of each row of v from the robust centre of all, by the same starts and steps on plain arrays."""
+    floors, p = np.square(quality_rules.FLOORS), v.shape[1]
+    low_median = lambda x: np.sort(x)[int(np.ceil(len(x) * 0.5)) - 1]
+    med = np.array([low_median(v[:, i]) for i in range(p)])
+    scale = np.sqrt((1.4826 * np.array([low_median(abs(v[:, i] - med[i])) for i in range(p)])) ** 2 + floors)
+    u = (v - med) / scale
+    sign = p * (u / ((u**2).sum(1) + 1e-12)[:, None]).T @ u / len(v) * np.outer(scale, scale) + np.diag(floors)
+
+    def distances(est):
+        return ((v - est[0]) @ np.linalg.inv(est[1]) * (v - est[0])).sum(1)
+
+    def support(d):
+        bins = np.floor(np.log(d + 1e-9) * quality_rules.BINS)
+        edge, h = np.sort(bins)[int(np.ceil(quality_rules.SUPPORT * len(v))) - 1], np.ceil(quality_rules.SUPPORT * len(v))
+        return edge, np.where(bins < edge, 1.0, np.where(bins == edge, (h - (bins < edge).sum()) / (bins == edge).sum(), 0.0))
+
+    def step(est):
+        w = support(distances(est))[1]
+        m = np.average(v, axis=0, weights=w)
+        return m, np.cov(v.T, aweights=w, bias=True) + np.diag(floors)
+
+    det = lambda est: np.linalg.slogdet(est[1])[1] / 2
+    ends = []
+    for est in ((med, np.diag(scale**2)), (med, sign)):
+        for _ in range(quality_rules.FIRST_STEPS):
+            est = step(est)
+        ends.append(est)
+    est = min(ends, key=det)
+    for _ in range(quality_rules.MOST_STEPS - quality_rules.FIRST_STEPS):
+        last, est = est, step(est)
+        if abs(det(est) - det(last)) <= quality_rules.STAYS:
+            break
+    d = distances(est)
+    return d / max(1.0, np.exp((support(d)[0] + 1) / quality_rules.BINS) / quality_rules.CHI2_SUPPORT)
+
+
+def test_op1_distances_match_plain_arrays(spark):
     rng = random.Random(2)
-    docs = frame(spark, [(i, sentence(rng, rng.randint(60, 300)), "en", "a") for i in range(150)])
-    x = quality_rules._features(quality_rules.base_stats(docs)).cache()
-    est = quality_rules.mcd(x.where(~F.col("base_failed"))).collect()[0]
-    v = np.array([[r[s] for s in quality_rules.STATS] for r in x.where(~F.col("base_failed")).collect()])
-    center, chol = np.array([est[f"m{i}"] for i in range(5)]), np.array([[est[f"l{i}{j}"] if j <= i else 0 for j in range(5)] for i in range(5)])
-    d = ((np.linalg.solve(chol, (v - center).T)) ** 2).sum(0)
-    inner = v[np.argsort(d)[: int(np.ceil(0.75 * len(v)))]]
-    cov = np.cov(inner.T, bias=True) + np.diag(np.square(quality_rules.FLOORS))
-    assert np.allclose(inner.mean(0), center, atol=0.08)
-    assert np.allclose(cov, chol @ chol.T, atol=0.08)
+    docs = [(i, sentence(rng, rng.randint(60, 300)) + rng.choice(["", " # $", "\nline\nline"]) * rng.randint(0, 9), rng.choice(["en", None]), rng.choice(["a", "b"])) for i in range(400)]
+    docs += [(1000 + i, " ".join(f"{w}***" for w in sentence(rng, 100).split()), "en", "a") for i in range(9)]
+    df = frame(spark, docs)
+    x = {r.doc_id: r for r in quality_rules._features(quality_rules.base_stats(df)).collect() if not r.base_failed}
+    out = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}
+    groups = defaultdict(list)
+    for r in x.values():
+        groups[r.lang, r.source].append(r)
+    for rows in groups.values():
+        d2 = plain_distances(np.array([[r[s] for s in quality_rules.STATS] for r in rows]))
+        assert np.allclose(d2, [out[r.doc_id].d2 for r in rows], rtol=2e-3, atol=1e-3)
+        assert [out[r.doc_id].kept for r in rows] == [bool(d <= quality_rules.CUTOFF) for d in d2]
+    assert len(groups) == 4 and sum(not out[1000 + i].kept for i in range(9)) == 9
 
 
 def expected_targets(sizes, most=3):
@@ -121,6 +161,33 @@ def test_op2(spark, rows):
     assert len(out) == len(rows)
 
 
+def test_op2_takes_what_the_shards_stream_gives(spark, rows):
+    """taken, document by document, from the endless repetition of each shard's documents in their order."""
+    docs = [*rows, *rows[:5], *((None, t, "en", "a") for t in ("", "w", "w", None))]
+    df = frame(spark, docs)
+    out = map(tuple, mixing.mix(df, shard_words=1 << 40, shard_rows=1 << 40).collect())
+    order = {}
+    for r in df.select("doc_id", "text", "source", F.xxhash64(F.lit(8), "doc_id", common.n_words(F.col("text")), F.xxhash64("text")).alias("o")).collect():
+        order.setdefault(r.source, []).append((r.o, -1 if r.doc_id is None else r.doc_id, len(WORDS.findall(r.text or "")), r.doc_id))
+    sizes = {s: sum(x[2] for x in v) for s, v in order.items()}
+    target = expected_targets(sizes)
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    seats, quota = round(sum(target.values()) / mixing.BLOCK_WORDS), dict.fromkeys(names, 0)
+    for _ in range(seats):
+        free = [s for s in names if quota[s] < 3 * sizes[s] // mixing.BLOCK_WORDS]
+        quota[max(free, key=lambda s: (target[s] / (2 * quota[s] + 1), -names.index(s)))] += 1
+    want = []
+    for s, docs_of in order.items():
+        left, took = quota[s] * mixing.BLOCK_WORDS, [0] * len(docs_of)
+        stream = sorted(range(len(docs_of)), key=lambda i: docs_of[i][:3])
+        while left > 0 and sizes[s]:
+            for i in stream:
+                n = min(left, docs_of[i][2])
+                took[i], left = took[i] + n, left - n
+        want += [(docs_of[i][3], docs_of[i][2], sizes[s], round(target[s], 6), took[i]) for i in range(len(docs_of))]
+    assert sorted(((a, b, c, round(d, 6), e) for a, b, c, d, e in out), key=str) == sorted(want, key=str)
+
+
 def test_op2_apportion_is_highest_quotients(spark):
     votes = [("x", i, float(v)) for i, v in enumerate([530, 240, 90, 90, 7, 0])]
     df = spark.createDataFrame(votes, "g string, i int, v double").withColumns({"cap": F.lit(1000), "seats": F.lit(31)})
