@@ -9,8 +9,45 @@ from pyspark.sql import functions as F
 QUALITY = {"techpowerup.com": 5.0, "gsmarena.com": 5.0, "notebookcheck.net": 4.0, "anandtech.com": 4.0, "rtings.com": 4.0, "displayspecifications.com": 4.0, "kimovil.com": 3.0, "versus.com": 2.0, "rozetka.com.ua": 3.5, "hotline.ua": 3.0, "ek.ua": 3.0, "e-katalog.ru": 2.0, "comfy.ua": 2.5, "moyo.ua": 2.5, "foxtrot.com.ua": 2.5, "allo.ua": 2.0, "eldorado.ua": 2.0}
 JUNK = {"youtube.com": -25.0, "facebook.com": -25.0, "instagram.com": -25.0, "tiktok.com": -25.0, "pinterest.com": -20.0, "x.com": -20.0, "twitter.com": -20.0, "reddit.com": -10.0, "quora.com": -10.0, "aliexpress.com": -6.0, "ebay.com": -6.0, "olx.ua": -12.0}
 
-#: makers' sites, the first of each the main one.
-BRANDS = {"asus": "asus.com rog.asus.com", "msi": "msi.com", "gigabyte": "gigabyte.com aorus.com", "samsung": "samsung.com", "lg": "lg.com", "sony": "sony.com", "philips": "philips.com", "bosch": "bosch-home.com bosch.com", "siemens": "siemens-home.bsh-group.com", "karcher": "kaercher.com karcher.com", "tefal": "tefal.com", "braun": "braun.com", "ariston": "ariston.com", "beko": "beko.com", "brother": "brother.com support.brother.com", "hp": "hp.com", "canon": "canon.com", "epson": "epson.com", "dell": "dell.com", "lenovo": "lenovo.com", "acer": "acer.com", "apple": "apple.com", "xiaomi": "mi.com", "oppo": "oppo.com", "oneplus": "oneplus.com", "google": "store.google.com", "motorola": "motorola.com", "nokia": "nokia.com", "huawei": "huawei.com consumer.huawei.com", "honor": "honor.com", "intel": "intel.com", "amd": "amd.com", "nvidia": "nvidia.com", "kingston": "kingston.com", "logitech": "logitech.com", "2e": "2e.ua"}
+#: A table of our own: makers' sites, the first of each the main one.
+BRANDS = {
+    "asus": ("asus.com", "rog.asus.com"),
+    "msi": ("msi.com",),
+    "gigabyte": ("gigabyte.com", "aorus.com"),
+    "samsung": ("samsung.com",),
+    "lg": ("lg.com",),
+    "sony": ("sony.com",),
+    "philips": ("philips.com",),
+    "bosch": ("bosch-home.com", "bosch.com"),
+    "siemens": ("siemens-home.bsh-group.com",),
+    "karcher": ("kaercher.com", "karcher.com"),
+    "tefal": ("tefal.com",),
+    "braun": ("braun.com",),
+    "ariston": ("ariston.com",),
+    "beko": ("beko.com",),
+    "brother": ("brother.com", "support.brother.com"),
+    "hp": ("hp.com",),
+    "canon": ("canon.com",),
+    "epson": ("epson.com",),
+    "dell": ("dell.com",),
+    "lenovo": ("lenovo.com",),
+    "acer": ("acer.com",),
+    "apple": ("apple.com",),
+    "xiaomi": ("mi.com",),
+    "oppo": ("oppo.com",),
+    "oneplus": ("oneplus.com",),
+    "google": ("store.google.com",),
+    "motorola": ("motorola.com",),
+    "nokia": ("nokia.com",),
+    "huawei": ("huawei.com", "consumer.huawei.com"),
+    "honor": ("honor.com",),
+    "intel": ("intel.com",),
+    "amd": ("amd.com",),
+    "nvidia": ("nvidia.com",),
+    "kingston": ("kingston.com",),
+    "logitech": ("logitech.com",),
+    "2e": ("2e.ua",),
+}
 CYRILLIC_BRANDS = {"філіпс": "philips", "филипс": "philips", "бош": "bosch", "самсунг": "samsung", "керхер": "karcher", "кархер": "karcher", "тефаль": "tefal", "браун": "braun", "аристон": "ariston", "беко": "beko"}
 
 #: Names of the same characteristic in English, Ukrainian and Russian.
@@ -53,7 +90,7 @@ def domains(spark: SparkSession) -> DataFrame:
 
 
 def brands(spark: SparkSession) -> DataFrame:
-    rows = [(b, k, d) for b, ds in BRANDS.items() for k, d in enumerate(ds.split())]
+    rows = [(b, k, d) for b, ds in BRANDS.items() for k, d in enumerate(ds)]
     return spark.createDataFrame(rows, "brand string, pos int, domain string")
 
 

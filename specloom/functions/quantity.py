@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from itertools import chain
 
 import pandas as pd
@@ -40,29 +39,53 @@ DIMENSIONS: dict[str, dict[str, float]] = {
 UNITS = {u: (d, float(f)) for d, us in DIMENSIONS.items() for u, f in us.items()}
 
 #: Unit -> its other spellings in English, Ukrainian and Russian.
-SPELLINGS: dict[str, str] = {
-    "inch": "inches дюйм дюйми дюймів дюймов дюйма",
-    "hz": "hertz гц", "khz": "кгц", "mhz": "мгц", "ghz": "ггц",
-    "g": "grams г гр", "kg": "kilograms кг", "mg": "мг",
-    "mm": "мм", "cm": "см", "m": "м",
-    "l": "л литр литра литров літр літра літрів liter liters litre litres", "ml": "мл",
-    "w": "вт watt watts", "kw": "квт kwatt", "v": "в вольт", "a": "amps", "ma": "milliamps",
-    "rpm": "об/хв об/мин r/min 1/min об/min rev/min оборотов/мин обертів/хв",
-    "db": "дб дба db(a)", "bar": "бар", "kpa": "кпа", "mpa": "мпа",
-    "gb": "гб", "mb": "мб", "tb": "тб", "kb": "кб",
-    "l/min": "л/хв л/мин", "l/h": "л/год л/ч l/hr", "g/min": "г/хв г/мин",
-    "ppm": "стор/хв стр/мин pages/min ipm pages/minute сторінок/хв аркушів/хв страниц/мин",
-    "mah": "мач", "wh": "втгод", "s": "с сек", "min": "хв мин", "h": "год ч", "ms": "мс",
-    "°c": "°с ℃ градусів градусов", "nits": "nit", "cd/m2": "кд/м2 кд/м²",
-}
-ALIASES = {a: u for u, text in SPELLINGS.items() for a in text.split()}
-
-_LETTER = "a-zA-Zа-яіїєґА-ЯІЇЄҐ"
-_NUMBER = re.compile(r"-?\d+(?:[.,]\d+)?")
-_UNIT = re.compile(rf"[{_LETTER}µ°″℃\"](?:[{_LETTER}µ°″\"²/·.()0-9]*[{_LETTER}0-9²″\")])?")
-#: Lower ends of ranges: "20 - 145", "20 - max. 145".
-_LOW = re.compile(r"(?<![\d.,])-?\d+(?:[.,]\d+)?\s*[-–—…]\s*(?:макс\.?|max\.?|до)?\s*(?=\d)", re.I)
-_GROUPS = re.compile(r"(?<=\d)(?:[\s   ](?=\d{3}(?:\D|$))|,(?=\d{3}(?:[^\d,]|$)))")
+SPELLINGS: dict[str, tuple[str, ...]] = {
+    "inch": ("inches", "дюйм", "дюйми", "дюймів", "дюймов", "дюйма"),
+    "hz": ("hertz", "гц"),
+    "khz": ("кгц",),
+    "mhz": ("мгц",),
+    "ghz": ("ггц",),
+    "g": ("grams", "г", "гр"),
+    "kg": ("kilograms", "кг"),
+    "mg": ("мг",),
+    "mm": ("мм",),
+    "cm": ("см",),
+    "m": ("м",),
+    "l": ("л", "литр", "литра", "литров", "літр", "літра", "літрів", "liter", "liters", "litre", "litres"),
+    "ml": ("мл",),
+    "w": ("вт", "watt", "watts"),
+    "kw": ("квт", "kwatt"),
+    "v": ("в", "вольт"),
+    "a": ("amps",),
+    "ma": ("milliamps",),
+    "rpm": ("об/хв", "об/мин", "r/min", "1/min", "об/min", "rev/min", "оборотов/мин", "обертів/хв"),
+    "db": ("дб", "дба", "db(a)"),
+    "bar": ("бар",),
+    "kpa": ("кпа",),
+    "mpa": ("мпа",),
+    "gb": ("гб",),
+    "mb": ("мб",),
+    "tb": ("тб",),
+    "kb": ("кб",),
+    "l/min": ("л/хв", "л/мин"),
+    "l/h": ("л/год", "л/ч", "l/hr"),
+    "g/min": ("г/хв", "г/мин"),
+    "ppm": ("стор/хв", "стр/мин", "pages/min", "ipm", "pages/minute", "сторінок/хв", "аркушів/хв", "страниц/мин"),
+    "mah": ("мач",),
+    "wh": ("втгод",),
+    "s": ("с", "сек"),
+    "min": ("хв", "мин"),
+    "h": ("год", "ч"),
+    "ms": ("мс",),
+    "°c": ("°с", "℃", "градусів", "градусов"),
+    "nits": ("nit",),
+    "cd/m2": ("кд/м2", "кд/м²"),
+}
+ALIASES = {a: u for u, names in SPELLINGS.items() for a in names}
+
+#: Signs that may begin a unit beside letters, go on in it, and end it; dashes of ranges; words before an upper end.
+UNIT_FIRST, UNIT_NEXT, UNIT_LAST = "µ°″℃\"", "µ°″\"²/·.()", "²″\")"
+DASHES, UPPER_WORDS = "-–—…", ("макс", "max", "до")
 PAIRS = T.ArrayType(T.StructType([T.StructField("num", T.DoubleType()), T.StructField("unit", T.StringType()), T.StructField("dim", T.StringType()), T.StructField("factor", T.DoubleType())]))
 
 
@@ -71,23 +94,97 @@ def canonical(unit: str) -> str:
     return ALIASES.get(u, u)
 
 
+def _letter(c: str) -> bool:
+    """Latin letters, and those of Ukrainian and Russian."""
+    return c.isalpha() and (c.isascii() or "а" <= c.lower() <= "я" or c.lower() in "іїєґ")
+
+
+def _ungrouped(s: str) -> str:
+    """Without the spaces and commas that part thousands: a digit before, three after, and no fourth."""
+
+    def parts(i: int) -> bool:
+        three, then = s[i + 1 : i + 4], s[i + 4 : i + 5]
+        return s[i - 1].isdecimal() and len(three) == 3 and three.isdecimal() and not then.isdecimal() and (s[i].isspace() or then != ",")
+
+    return "".join(c for i, c in enumerate(s) if not ((c == "," or c.isspace()) and i and parts(i)))
+
+
+def _skip(s: str, i: int) -> int:
+    while i < len(s) and s[i].isspace():
+        i += 1
+    return i
+
+
+def _figure(s: str, i: int) -> int:
+    """The end of the number that begins at i: digits, and a fraction after a point or a comma."""
+    j = i + (s[i] == "-")
+    while j < len(s) and s[j].isdecimal():
+        j += 1
+    k = j + 1
+    while j < len(s) and s[j] in ".," and k < len(s) and s[k].isdecimal():
+        k += 1
+    return k if k > j + 1 else j
+
+
+def _upper_end(s: str, i: int) -> int | None:
+    """Where the upper end of a range begins, if a dash and no more than "max." lie between i and it."""
+    i = _skip(s, i)
+    if i >= len(s) or s[i] not in DASHES:
+        return None
+    i = _skip(s, i + 1)
+    word = next((w for w in UPPER_WORDS if s[i : i + len(w)].lower() == w), "")
+    i += len(word)
+    i = _skip(s, i + (word not in ("", "до") and s[i : i + 1] == "."))
+    return i if i < len(s) and s[i].isdecimal() else None
+
+
+def _upper_ends(s: str) -> str:
+    """Without the lower ends of ranges, which begin where no other number goes on."""
+    out, i = [], 0
+    while i < len(s):
+        begins = (s[i].isdecimal() or s[i] == "-" and s[i + 1 : i + 2].isdecimal()) and not (i and (s[i - 1].isdecimal() or s[i - 1] in ".,"))
+        upper = _upper_end(s, _figure(s, i)) if begins else None
+        if upper is None:
+            out.append(s[i])
+        i = i + 1 if upper is None else upper
+    return "".join(out)
+
+
+def _unit_end(s: str, i: int) -> int:
+    """The end of what may be a unit at i: from a letter or a sign on to the last letter, digit or closing sign."""
+    if i >= len(s) or not (_letter(s[i]) or s[i] in UNIT_FIRST):
+        return i
+    j = i + 1
+    while j < len(s) and (_letter(s[j]) or s[j] in UNIT_NEXT or s[j] in "0123456789"):
+        j += 1
+    while j > i + 1 and not (_letter(s[j - 1]) or s[j - 1] in UNIT_LAST or s[j - 1].isdecimal()):
+        j -= 1
+    return j
+
+
 def scan(text: str | None) -> list[tuple[float, str | None]]:
-    """(number, unit or None) in reading order; digits inside names of models are no numbers."""
-    s, out, at = _LOW.sub("", _GROUPS.sub("", text or "")), [], 0
-    while m := _NUMBER.search(s, at):
-        at, before = m.end(), s[m.start() - 1 : m.start()]
-        gap = len(s[at:]) - len(s[at:].lstrip())
-        u = _UNIT.match(s, at + gap)
-        if u:
-            at = u.end()
-        if before and (before.isalpha() or before in "-_/"):
+    """(number, unit or None) in reading order.
+
+    Of a range the upper end counts. Digits after a letter, a dash, an underscore or a slash belong to a name;
+    so do digits with two letters or more glued to them that are no unit.
+    """
+    s, out, i = _upper_ends(_ungrouped(text or "")), [], 0
+    before = ""
+    while i < len(s):
+        signed = s[i] == "-" and s[i + 1 : i + 2].isdecimal()
+        if not signed and not s[i].isdecimal():
+            before, i = s[i], i + 1
             continue
-        unit = canonical(u.group()) if u else None
-        if unit not in UNITS:
-            if unit and gap == 0 and len(unit) >= 2:
-                continue
-            unit = None
-        out.append((float(m.group().replace(",", ".")), unit))
+        end = _figure(s, i)
+        start = _skip(s, end)
+        stop = _unit_end(s, start)
+        named = before != "" and (before.isalpha() or before in "-_/")
+        unit = canonical(s[start:stop]) if stop > start else None
+        glued = unit is not None and unit not in UNITS and start == end and len(unit) >= 2
+        if not named and not glued:
+            out.append((float(s[i:end].replace(",", ".")), unit if unit in UNITS else None))
+        i = stop if stop > start else end
+        before = s[i - 1]
     return out
 
 
@@ -115,7 +212,7 @@ def factor(unit: Column) -> Column:
 
 def label_unit(label: Column) -> Column:
     """The known unit at the end of a label: "Weight, kg", "Power (kW)"."""
-    found = F.regexp_extract(F.trim(label), rf"[,(/]\s*([{_LETTER}µ°″\"][{_LETTER}µ°″\"²/·.0-9]{{0,10}})\s*\)?\s*$", 1)
+    found = F.regexp_extract(F.trim(label), r"[,(/]\s*([a-zA-Zа-яіїєґА-ЯІЇЄҐµ°″\"][a-zA-Zа-яіїєґА-ЯІЇЄҐµ°″\"²/·.0-9]{0,10})\s*\)?\s*$", 1)
     unit = canonical_unit(found)
     return F.when((found != "") & dimension(unit).isNotNull(), unit)
 

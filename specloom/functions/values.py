@@ -9,10 +9,12 @@ from specloom.functions.quantity import number_units, to_integer, to_number
 from specloom.functions.text import repair, strip, words
 
 #: Words that answer yes or no.
-YES = "yes true ✓ present supported available + є так да есть".split()
-NO = "no false ✗ — - absent unsupported n/a none немає нет ні відсутній відсутня отсутствует".split()
+YES = ("yes", "true", "✓", "present", "supported", "available", "+", "є", "так", "да", "есть")
+NO = ("no", "false", "✗", "—", "-", "absent", "unsupported", "n/a", "none", "немає", "нет", "ні", "відсутній", "відсутня", "отсутствует")
 NEGATION = r"(?iuU)\b(no|not|none|without|немає|нема|ні|відсутн\w*|нет|отсутств\w*|бе[зс])\b"
+#: What is stripped from the ends of a value, and words of a name that echo nothing.
 _EDGE = r"\s,;:\-—–"
+NO_ECHO = ("of", "the", "a", "type", "size")
 
 
 def to_boolean(raw: Column) -> Column:
@@ -64,7 +66,7 @@ def _one_side(v: Column, attribute: Column) -> Column:
 
 def _no_echo(v: Column, attribute: Column) -> Column:
     """Without the attribute's own words at the end, unless nothing is left."""
-    own = F.filter(F.regexp_extract_all(F.lower(attribute), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: ~t.isin("of", "the", "a", "type", "size"))
+    own = F.filter(F.regexp_extract_all(F.lower(attribute), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: ~t.isin(*NO_ECHO))
     w = words(v)
     said = F.transform(w, lambda t: F.array_contains(own, F.btrim(F.lower(t), F.lit(".,;:-"))))
     last = F.coalesce(F.array_max(F.filter(F.transform(said, lambda s, i: F.when(s, -1).otherwise(i)), lambda i: i >= 0)), F.lit(-1))
