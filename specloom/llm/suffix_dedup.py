@@ -198,7 +198,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     a weight (found from digests, before any text moves), and a hash with one string needs no order. The rest,
     the edges of what repeats, goes to tasks by hash, and each builds the column-wise transform and common
     prefixes of its strings in rounds of one symbol a string over sequential files. A hash with more than
-    GROUP_STRINGS strings is counted window by window over the cluster instead, as exactly.
+    GROUP_STRINGS strings is divided to the end, as by anchors as long as the window: each window is a part of its
+    own there, and copies are counted over the cluster, as exactly.
     """
     limit_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
