@@ -31,26 +31,49 @@ def _slim(docs: DataFrame) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows with one id and different texts are all kept if one is."""
+    """Documents that the quality rules keep.
+
+    Null, empty and short texts fail the base rules and go; a very long text is judged whole. Rows with one id
+    are one document: all are kept if one is, and rows without an id if one of those is.
+    """
     kept = cut(quality_rules.quality_rules(_slim(docs)).where("kept").select("doc_id"), "pipeline-rules")
     return _where(docs, kept, [("doc_id", F.col("doc_id"))])
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8): the one of the smallest id."""
-    kept = near_dup.near_dup(_slim(docs)).where("kept").select("doc_id")
-    return _where(docs, kept, [("doc_id", F.col("doc_id"))])
+    """One document of each group of near-duplicates (five words, 0.8): the one of the smallest id.
+
+    Rows with one id are one document, of which one row stays: the first by a digest of its text. Texts
+    without words, null ones and rows without an id are near to nothing and stay.
+    """
+    kept = cut(near_dup.near_dup(_slim(docs)).where("kept").select("doc_id"), "pipeline-dedup")
+    out = _where(docs, kept, [("doc_id", F.col("doc_id"))])
+    several = cut(kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id")), "pipeline-repeated")
+    if several.isEmpty():
+        return out
+    names = [f"`{c}`" for c in docs.columns]
+    again = out.join(several, F.col("doc_id") == F.col("__id"), "left_semi")
+    first = again.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.xxhash64("text")).alias("__row")).select("__row.*")
+    return out.join(several, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(first.select(*names))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark, wherever in a text it stands.
+
+    All rows of an id go if one holds a passage; null and empty texts hold none. An empty benchmark takes nothing.
+    """
     found = decontamination.decontamination(_slim(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     leaks = found.select(F.col("doc_id").alias("__leak")).distinct()
     return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")
 
 
 def balance(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole number."""
+    """Each document as often as the mix takes its words, to the nearest whole number.
+
+    In a shard of the mix all documents but one are taken a whole number of times, so a source strays from its
+    blocks by half a document a shard at most. Documents without words are taken zero times. Rows with one id
+    are each taken as often as the one that is taken most.
+    """
     size = F.col("size")
     times = F.when(size > 0, F.round(F.col("taken") / size)).otherwise(0).cast("int")
     drawn = mixing.mix(_slim(docs)).groupBy("doc_id").agg(F.max(times).alias("__times")).withColumnRenamed("doc_id", "__id")
@@ -59,7 +82,10 @@ def balance(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the token shards say of each document: doc_id, start, n_tokens, ids_crc32."""
+    """What the token shards say of each row: doc_id, start, n_tokens, ids_crc32.
+
+    Null and empty texts are their end id alone; rows of one id come in the order of a digest of their texts.
+    """
     return token_shards.token_shards(_slim(docs))
 
 
