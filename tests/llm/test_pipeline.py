@@ -31,6 +31,50 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert stage is corpus_pipeline.balance and len(ids) > 20
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size long"
+
+
+def test_stages_of_nothing(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0, name
+        assert name == "token shards" or out.columns == docs.columns
+
+
+def test_stages_with_repeated_rows_nulls_and_long_texts(spark):
+    rng = random.Random(3)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    one, long = text(90), text(60_000)
+    rows = [(1, one), (1, one), (1, text(70)), (2, long), (3, f"{long} end"), (4, None), (4, ""), (None, text(60)), (None, None), (5, text(80))]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, None, 2) for i, t in rows], SCHEMA)
+    ids = lambda df: sorted((r.doc_id or 0, len(r.text or "")) for r in df.collect())
+    every = ids(docs)
+    assert ids(corpus_pipeline.rules(spark, docs, SF)) == [x for x in every if x[0] != 4]
+    left = ids(corpus_pipeline.dedup(spark, docs, SF))
+    assert [x[0] for x in left] == [0, 0, 1, 2, 4, 5] and [x for x in left if x[0] != 1 and x[0] != 4] == [x for x in every if x[0] not in (1, 3, 4)]
+    assert ids(corpus_pipeline.decontaminate(spark, docs, SF)) == every
+    mixed = corpus_pipeline.balance(spark, docs, SF)
+    assert mixed.columns == docs.columns and not mixed.where("doc_id = 4").count()
+    found = sorted(map(tuple, corpus_pipeline.tokens(spark, docs, SF).select("start", "n_tokens").collect()))
+    assert len(found) == len(rows) and all(a + n == b for (a, n), (b, _) in zip(found, found[1:], strict=False))
+
+
+def test_leaks_and_copies_go(spark):
+    """Each stage against what was put in: exact and edited copies, benchmark items, verbatim and with a word changed."""
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()][:6]
+    clean = [(i, text(120)) for i in range(30)]
+    copies = [(100 + i, f"{clean[i][1]} more") for i in range(10)] + [(200 + i, clean[i][1]) for i in range(10)]
+    leaks = [(300 + i, f"{text(50)} {x} {text(50)}") for i, x in enumerate(items)]
+    leaks += [(400 + i, f"{text(50)} {' '.join('other' if k == 4 else w for k, w in enumerate(x.split()))} {text(50)}") for i, x in enumerate(items)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, None, 2) for i, t in clean + copies + leaks], SCHEMA)
+    ids = lambda df: {r.doc_id for r in df.collect()}
+    assert ids(corpus_pipeline.dedup(spark, docs, SF)) == {i for i, _ in clean + leaks}
+    assert ids(corpus_pipeline.decontaminate(spark, docs, SF)) == {i for i, _ in clean + copies}
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
