@@ -26,7 +26,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 #: Bits of the filter that the scan of the documents carries, whatever the size of the benchmark.
 FILTER_BITS = 1 << 24
-#: Seeds up to which their table is broadcast, about 400 bytes each; beyond it the join shuffles.
+#: Seeds up to which their table goes to each worker, about 20 bytes each and 512 a segment; beyond it the join shuffles.
 BROADCAST_SEEDS = 100_000
 #: Hits that leave the scan of the documents at once, about 1.3 kB each.
 HITS = 4096
@@ -164,6 +164,37 @@ def _scored(batches: Iterator[pa.RecordBatch], min_score: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "item_id", "score", "start", "end"])
 
 
+def _pairs(hits: pa.RecordBatch, seeds: pa.Table, segments: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Hits with the seeds of their hash, HITS pairs at a time; seeds (h, at, segment) are in order of h, segments (item_id, seg, tokens) named by their row."""
+    keys, h = seeds.column("h").to_numpy(), hits.column("h").to_numpy()
+    lo, hi = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
+    n = hi - lo
+    left = np.repeat(np.arange(len(h)), n)
+    right = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    for k in range(0, len(left), HITS):
+        a, b = hits.take(pa.array(left[k : k + HITS])), seeds.take(pa.array(right[k : k + HITS]))
+        c = segments.take(b.column("segment")).combine_chunks()
+        cols = {name: a.column(name) for name in ("doc_id", "place", "base", "around")} | {"at": b.column("at").combine_chunks()} | {name: c.column(name).combine_chunks() for name in ("item_id", "seg", "tokens")}
+        yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+
+@lean
+def _found(batches: Iterator[pa.RecordBatch], bits: np.ndarray, sizes: list[int], seeds: pa.Table, segments: pa.Table, min_score: float) -> Iterator[pa.RecordBatch]:
+    """Hits, joined with their seeds and scored, in one worker a task."""
+    for hits in _hits(batches, bits, sizes):
+        for pairs in _pairs(hits, seeds, segments):
+            yield from _scored(iter([pairs]), min_score)
+
+
+def _tables(seeds: DataFrame) -> tuple[pa.Table, pa.Table]:
+    """Seeds and segments of a small benchmark on the driver; see _pairs."""
+    segments = seeds.groupBy("item_id", "seg").agg(F.first("tokens").alias("tokens")).toArrow()
+    number = {key: i for i, key in enumerate(zip(*(segments.column(c).to_pylist() for c in ("item_id", "seg")), strict=True))}
+    rows = seeds.select("h", "at", "item_id", "seg").toArrow().sort_by("h")
+    of = [number[key] for key in zip(*(rows.column(c).to_pylist() for c in ("item_id", "seg")), strict=True)]
+    return rows.select(["h", "at"]).append_column("segment", pa.array(of, pa.int64())).combine_chunks(), segments.combine_chunks()
+
+
 def decontamination(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """Return (doc_id, item_id, score, start, end): each document that holds a passage like a test item, once per item.
 
@@ -177,7 +208,8 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, min_score: float = MI
     copy with every third word replaced, is not found, though it may score a little over 0.5.
     One scan of the documents, with a filter of 2 MB at most, finds the seeds with the tokens around them, so
     that no text is shuffled. What an item's tokens in a passage cannot bring to min_score is not aligned.
-    The seeds are joined by broadcast up to broadcast_seeds rows, else by a shuffle that skew can split.
+    Up to broadcast_seeds seeds go to the workers, at most some 5 MB, and are joined and aligned where the
+    documents are read; beyond, hits and seeds are joined by a shuffle that skew can split.
     """
     spark = docs.sparkSession
     limit_batches(spark)
@@ -186,10 +218,13 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, min_score: float = MI
     seeds = cut(items.mapInArrow(_items, "item_id long, seg int, at int, n int, h long, tokens array<long>"), "decontam-seeds")
     chosen = _filter(seeds.select("h"))
     sizes = sorted(r.n for r in seeds.select("n").distinct().collect()) or [SEED_TOKENS]
-    found = rows.mapInArrow(lambda it: _hits(it, chosen, sizes), "h long, doc_id long, place int, base int, around array<long>")
-    few = seeds.count() <= broadcast_seeds
-    joined = found.join(F.broadcast(seeds) if few else seeds, "h")
-    scored = joined.mapInArrow(lambda it: _scored(it, min_score), "doc_id long, item_id long, score double, start long, end long")
+    out = "doc_id long, item_id long, score double, start long, end long"
+    if seeds.count() <= broadcast_seeds:
+        table, segments = _tables(seeds)
+        scored = rows.mapInArrow(lambda it: _found(it, chosen, sizes, table, segments, min_score), out)
+    else:
+        found = rows.mapInArrow(lambda it: _hits(it, chosen, sizes), "h long, doc_id long, place int, base int, around array<long>")
+        scored = found.join(seeds, "h").mapInArrow(lambda it: _scored(it, min_score), out)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", -F.col("start"), -F.col("end"))).alias("b"))
     return best.select("doc_id", "item_id", "b.score", (-F.col("b.col2")).alias("start"), (-F.col("b.col3")).alias("end"))
 

@@ -20,7 +20,7 @@ END_ID = 1
 #: A row of a shard closes when it holds this many ids; one document is never split.
 SEGMENT_IDS = 1 << 18
 #: Bytes of distinct words whose ids a worker remembers, 7 times as many with the ids; it forgets all of them when there are more.
-CACHED_BYTES = 10 << 20
+CACHED_BYTES = 6 << 20
 SHARD_SCHEMA = "shard int, seg int, n_docs int, n_ids long, doc_ids binary, no_id binary, lengths binary, planes binary"
 
 
@@ -32,6 +32,8 @@ def default_tokenizer() -> str:
 
 #: Letters, then marks which never join them in a pre-token; nothing here changes its class in lower case or by composition.
 _PLAIN = re.compile(r"[a-zA-ZÀ-ÖØ-öø-ÿ]+([.,!?;:*&%$#|]*)")
+#: Bytes of text that are encoded at once, whole texts.
+SLICE_BYTES = 1 << 20
 #: New words that are encoded in one text.
 JOINED = 1000
 
@@ -146,6 +148,15 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows in a row whose texts begin within SLICE_BYTES of one another."""
+    begins = utf8_view(batch.column("text"))[1][:-1] // SLICE_BYTES
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(begins)) + 1, [len(begins)]])
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if z > a:
+            yield batch.slice(a, z - a)
+
+
 @lean
 def _segments(batches: Iterator[pa.RecordBatch], path: str, segment_ids: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
@@ -162,7 +173,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, segment_ids: int) ->
         types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["shard", "seg", "n_docs", "n_ids", "doc_ids", "no_id", "lengths", "planes"])
 
-    for b in batches:
+    for b in (part for batch in batches for part in _slices(batch)):
         ids, lengths = encoder.encode(b.column("text"))
         docs = b.column("doc_id")
         docs, no_id = docs.fill_null(0).to_numpy(zero_copy_only=False), docs.is_null().to_numpy(zero_copy_only=False)
