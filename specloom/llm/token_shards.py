@@ -19,8 +19,8 @@ from specloom.llm.wavelet import WaveletMatrix
 END_ID = 1
 #: A row of a shard closes when it holds this many ids; one document is never split.
 SEGMENT_IDS = 1 << 18
-#: Bytes of distinct words whose ids a worker remembers, 7 times as many with the ids; it forgets all of them when there are more.
-CACHED_BYTES = 6 << 20
+#: Bytes of distinct words whose ids a worker remembers, 4 times as many with the ids; it forgets all of them when there are more.
+CACHED_BYTES = 10 << 20
 SHARD_SCHEMA = "shard int, seg int, n_docs int, n_ids long, doc_ids binary, no_id binary, lengths binary, planes binary"
 
 
@@ -59,16 +59,16 @@ class WordEncoder:
 
     def forget(self) -> None:
         """Words are found by the hash of their bytes in `keys`, in order, and compared byte by byte in `pool`."""
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.pool, self.pool_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
-        self.flat, self.ids_at = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.pool, self.pool_at = np.zeros(0, np.uint8), np.zeros(1, np.int32)
+        self.flat, self.ids_at = np.zeros(0, np.uint16), np.zeros(1, np.int32)
 
     def _known(self, h: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The slot of each word, or -1."""
         if not len(self.keys):
             return np.full(len(h), -1)
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        slot = np.where(self.keys[at] == h, self.slots[at], -1)
+        slot = np.where(self.keys[at] == h, self.slots[at], np.int32(-1)).astype(np.int64)
         size = np.diff(offsets)
         slot[(slot >= 0) & (self.pool_at[slot + 1] - self.pool_at[slot] != size)] = -1
         i = np.flatnonzero(slot >= 0)
@@ -81,9 +81,9 @@ class WordEncoder:
     def _keep(self, h: np.ndarray, words: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Remember new words with their ids and return their slots."""
         data, offsets = utf8_view(words)
-        new = np.arange(len(h)) + len(self.pool_at) - 1
-        self.pool, self.pool_at = np.concatenate([self.pool, data]), np.concatenate([self.pool_at, self.pool_at[-1] + offsets[1:]])
-        self.flat, self.ids_at = np.concatenate([self.flat, ids]), np.concatenate([self.ids_at, self.ids_at[-1] + np.cumsum(lengths)])
+        new = np.arange(len(self.pool_at) - 1, len(self.pool_at) - 1 + len(h), dtype=np.int32)
+        self.pool, self.pool_at = np.concatenate([self.pool, data]), np.concatenate([self.pool_at, (self.pool_at[-1] + offsets[1:]).astype(np.int32)])
+        self.flat, self.ids_at = np.concatenate([self.flat, ids]), np.concatenate([self.ids_at, (self.ids_at[-1] + np.cumsum(lengths)).astype(np.int32)])
         keys, slots = np.concatenate([self.keys, h]), np.concatenate([self.slots, new])
         order = np.argsort(keys, kind="stable")
         self.keys, self.slots = keys[order], slots[order]
