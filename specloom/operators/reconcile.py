@@ -37,16 +37,26 @@ def site(url: Column) -> Column:
     return F.when(url.startswith("searxng://"), url).otherwise(F.coalesce(host(url), F.lower(url)))
 
 
+def in_order(points: Column) -> Column:
+    """The sum of (cand_idx, points) in the order of candidates: the same double however the rows are dealt out."""
+    return F.aggregate(F.sort_array(points), F.lit(0.0), lambda s, x: s + F.coalesce(x["points"], F.lit(0.0)))
+
+
+def half_up(c: Column, places: int) -> Column:
+    """Rounded as SQL rounds a double: by its product with a power of ten, not by its shortest digits (0.30015 is under its half)."""
+    return F.floor(c * 10.0**places + 0.5) / 10.0**places
+
+
 #: What is told of each source of an answer.
 SOURCE = ("cand_idx", "url", "title", "method", "confidence", "raw_value", "unit")
 
 
 def by_value(cands: DataFrame) -> DataFrame:
-    """One row for each distinct value of (product_id, attr_idx): key, first sight, score, best member, sites, members, who said it."""
+    """One row for each distinct value of (product_id, attr_idx): key, first sight, points of each candidate, best member, sites, members, who said it."""
     best = F.struct(F.col("confidence"), -F.col("cand_idx"))
     return cands.groupBy(*KEYS, value_key(F.col("value")).alias("key")).agg(
         F.min("cand_idx").alias("first"),
-        F.sum(F.col("confidence") * weight(F.col("method"))).alias("score"),
+        F.collect_list(F.struct("cand_idx", (F.col("confidence") * weight(F.col("method"))).alias("points"))).alias("points"),
         F.max_by(F.struct("confidence", (-F.col("cand_idx")).alias("order"), "value", "unit", "method", "url"), best).alias("best"),
         F.collect_set(site(F.col("url"))).alias("sites"),
         F.count("*").alias("members"),
@@ -94,24 +104,26 @@ def vote(values: DataFrame) -> DataFrame:
 
     The cluster of most confidence times method weight wins, the earlier one among equals. Its share of all,
     less a quarter where the next has 0.7 of it, and no more than its best member's confidence, gains 15 % up
-    to 0.97 from two sites or more, else is scaled for its method. Rounded half up to four places.
+    to 0.97 from two sites or more, else is scaled for its method. Rounded half up to four places. Sums are
+    taken in the order of candidates and of ranks; clusters are equal that are so to nine places.
     """
     per = values.groupBy(*KEYS, "cluster").agg(
-        F.sum("score").alias("score"),
+        in_order(F.flatten(F.collect_list("points"))).alias("score"),
         F.max("best").alias("b"),
         F.size(F.array_distinct(F.flatten(F.collect_list("sites")))).alias("sites"),
         F.sum("members").alias("members"),
         F.flatten(F.collect_list("said")).alias("said"),
     )
     group = Window.partitionBy(*KEYS)
-    order = group.orderBy(F.col("score").desc(), "cluster")
-    per = per.withColumns({"r": F.row_number().over(order), "next": F.lead("score").over(order), "total": F.sum("score").over(group), "n_sources": F.sum("members").over(group)}).where("r = 1")
+    order = group.orderBy(F.round("score", 9).desc(), "cluster")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    per = per.withColumns({"r": F.row_number().over(order), "next": F.lead("score").over(order), "total": F.sum("score").over(whole), "n_sources": F.sum("members").over(group)}).where("r = 1")
     base = F.when(F.col("total") > 0, F.col("score") / F.col("total")).otherwise(0.0)
     base = base * F.when(F.col("next") >= 0.7 * F.col("score"), 0.75).otherwise(1.0)
     base = F.least(base, F.col("b.confidence"))
     conf = F.when(F.col("sites") >= 2, F.least(F.lit(0.97), base * 1.15)).otherwise(base * single_factor(F.col("b.method")))
     told = F.transform(F.filter("said", lambda s: s["value"] == F.col("b.value")), lambda s: F.struct(*[s[c].alias(c) for c in SOURCE]))
-    return per.select(*KEYS, "b.value", "b.unit", F.round(conf, 4).alias("confidence"), "b.url", "n_sources", F.sort_array(told).alias("sources"))
+    return per.select(*KEYS, "b.value", "b.unit", half_up(conf, 4).alias("confidence"), "b.url", "n_sources", F.sort_array(told).alias("sources"))
 
 
 def reconcile(cands: DataFrame) -> DataFrame:

@@ -83,6 +83,16 @@ def test_vote(spark, rows, value, confidence):
     assert (r.value, r.confidence, r.n_sources) == (value, confidence, len(rows))
 
 
+def test_vote_adds_in_order(spark):
+    rows = [("A", 0.6, "https://a.com/"), ("B", 0.1, "https://b.com/"), ("B", 0.2, "https://c.com/"), ("B", 0.3, "https://d.com/")]
+    c = candidates(spark, rows)
+    for dealt in (c.coalesce(1), c.orderBy(F.desc("cand_idx")).coalesce(1), c.repartition(4, "cand_idx")):
+        r = reconcile.vote(reconcile.equal(reconcile.by_value(dealt))).first()
+        assert (r.value, r.confidence) == ("A", 0.375)  # 0.1 + 0.2 + 0.3 is 0.6000000000000001, and no more than 0.6
+    # a share of 0.348, of which 0.75 * 1.15 is 0.30015: as a double just under the half, as digits the half
+    assert spark.range(1).select(reconcile.half_up(F.lit(0.348) * 0.75 * 1.15, 4)).first()[0] == duckdb.execute("SELECT round(0.348::DOUBLE * 0.75 * 1.15, 4)").fetchone()[0] == 0.3001
+
+
 PAGE = """<html><head><script type="application/ld+json">{"@type":"Product","additionalProperty":[{"name":"Refresh rate","value":{"value":180,"unitText":"Hz"}}]}</script></head>
 <body><nav><ul><li>Home: a</li><li>b: c</li><li>d: e</li></ul></nav>
 <table><tr><td>Panel type</td><td>VA</td></tr><tr><td>Curvature</td><td>R1500</td></tr><tr><td>Print</td><td>speed</td><td>30 ppm</td></tr></table></body></html>"""
