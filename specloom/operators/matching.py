@@ -25,6 +25,12 @@ def keep_first(df: DataFrame, keys: list, order: str = "seq") -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_r = 1").drop("_r")
 
 
+def by_key(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that both grow with the products. Their files can be far smaller than their rows (exploded, or
+    of repeated words), and a size guessed from files would have Spark collect one on the driver: both sides are dealt out."""
+    return left.join(right.hint("merge"), keys, how)
+
+
 def pool_labels(pool: DataFrame) -> DataFrame:
     """(product_id, label, label_seq): distinct labels by first sight."""
     return pool.groupBy("product_id", F.col("name").alias("label")).agg(F.min("seq").alias("label_seq"))
@@ -43,7 +49,7 @@ def confidence_of(sim: Column) -> Column:
 
 def fuzzy_labels(attrs: DataFrame, labels: DataFrame, threshold: float = DEFAULTS.pool_match) -> DataFrame:
     """(product_id, attr_idx, label, sim): similarity join within a product over distinct labels."""
-    pairs = attrs.select("product_id", "attr_idx", F.col("name").alias("attr")).join(labels.select("product_id", "label"), "product_id")
+    pairs = by_key(attrs.select("product_id", "attr_idx", F.col("name").alias("attr")), labels.select("product_id", "label"), "product_id")
     return pairs.join(similar(pairs, threshold), ["label", "attr"]).select("product_id", "attr_idx", "label", "sim")
 
 
@@ -76,9 +82,10 @@ def groups_of(phrases: DataFrame, column: str) -> DataFrame:
 
 def synonym_labels(attrs: DataFrame, labels: DataFrame) -> DataFrame:
     """(product_id, attr_idx, label): the first label of a product that shares a synonym group with the attribute."""
-    a = attrs.select("product_id", "attr_idx", F.col("name").alias("attr")).join(groups_of(attrs.withColumnRenamed("name", "attr"), "attr"), "attr")
-    b = labels.join(groups_of(labels, "label"), "label")
-    return a.join(b, ["product_id", "grp"]).groupBy("product_id", "attr_idx").agg(F.min_by("label", "label_seq").alias("label"))
+    pairs = by_key(attrs.select("product_id", "attr_idx", F.col("name").alias("attr")), labels, "product_id")
+    names = pairs.select("attr", "label").distinct()
+    shared = names.join(groups_of(names, "attr"), "attr").join(groups_of(names, "label"), ["label", "grp"]).select("attr", "label").distinct()
+    return pairs.join(shared, ["attr", "label"]).groupBy("product_id", "attr_idx").agg(F.min_by("label", "label_seq").alias("label"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -134,7 +141,7 @@ def label_candidates(matched: DataFrame, pool: DataFrame) -> DataFrame:
 
     matched: (product_id, attr_idx, label, confidence, part).
     """
-    rows = matched.join(with_label_unit(pool).withColumnRenamed("name", "label"), ["product_id", "label"])
+    rows = by_key(matched, with_label_unit(pool).withColumnRenamed("name", "label"), ["product_id", "label"])
     return rows.select("product_id", "attr_idx", "seq", F.col("full_value").alias("value"), F.lit(None).cast("string").alias("unit"), "confidence", F.lit("css_selector").alias("method"), "url", "title", F.col("full_value").alias("raw_value"), F.lit(0).alias("tier"), "part")
 
 
@@ -152,7 +159,7 @@ def dimension_candidates(attrs: DataFrame, pool: DataFrame) -> DataFrame:
     letters = F.create_map(*[F.lit(x) for kv in LETTERS.items() for x in kv])
     axes = F.array(*[F.try_element_at(letters, F.regexp_extract(low, order, g)) for g in (1, 2, 3)])
     p = pool.where(low.rlike("(?iu)габарит|розмір|размер|dimension") & low.rlike(order)).withColumns({"axes": axes, "nums": F.regexp_extract_all("value", F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0))})
-    j = a.join(p, "product_id").withColumn("at", F.array_position("axes", F.col("axis"))).where((F.col("at") > 0) & (F.size("nums") >= 3))
+    j = by_key(a, p, "product_id").withColumn("at", F.array_position("axes", F.col("axis"))).where((F.col("at") > 0) & (F.size("nums") >= 3))
     unit = F.coalesce(F.nullif(F.regexp_extract("value", r"(?iuU)\b(мм|см|mm|cm)\b", 1), F.lit("")), label_unit(F.col("name")))
     value = F.concat_ws(" ", F.element_at("nums", F.col("at").cast("int")), unit)
     return j.select("product_id", "attr_idx", "seq", value.alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(0.72).alias("confidence"), F.lit("css_selector").alias("method"), "url", "title", F.concat_ws(": ", "name", "value").alias("raw_value"))

@@ -28,7 +28,7 @@ def pool_candidates(attrs: DataFrame, pool: DataFrame, vectors: DataFrame | None
     fuzzy = matching.fuzzy_labels(attrs, labels, cfg.pool_match)
     meant = matching.synonym_labels(attrs, labels)
     if vectors is not None:
-        more = attrs.join(meant, KEYS, "left_anti").join(vectors.withColumnRenamed("attr", "name"), ["product_id", "name"]).select(*KEYS, "label")
+        more = matching.by_key(matching.by_key(attrs, meant, KEYS, "left_anti"), vectors.withColumnRenamed("attr", "name"), ["product_id", "name"]).select(*KEYS, "label")
         meant = meant.unionByName(more)
     labelled = fuzzy.select(*KEYS, "label", matching.confidence_of(F.col("sim")).alias("confidence"), F.lit(0).alias("part"))
     labelled = labelled.unionByName(meant.select(*KEYS, "label", F.lit(0.80).alias("confidence"), F.lit(1).alias("part")))
@@ -43,14 +43,14 @@ def assemble(attrs: DataFrame, voted: DataFrame, normalised: DataFrame | None =
     coerced; without one such values pass with half the confidence, numbers and booleans as not found.
     """
     raw = voted.select(*KEYS, F.col("value").alias("raw"), F.col("confidence").alias("vote"), "url", "sources")
-    df = coerced(attrs.join(raw, KEYS, "left"))
+    df = coerced(matching.by_key(attrs, raw, KEYS, "left"))
     none = F.lit(None)
     if normalised is None:
         typed = F.col("type").isin("integer", "number", "boolean")
         norm = F.struct(F.when(~typed, F.col("raw")).alias("value"), F.col("unit").alias("unit"), F.lit(False).alias("matched"), F.when(typed, 0.0).otherwise(0.5).alias("confidence"))
         df = df.withColumn("n", norm)
     else:
-        df = df.join(normalised.select(*KEYS, F.struct("value", "unit", "matched", "confidence").alias("n")), KEYS, "left")
+        df = matching.by_key(df, normalised.select(*KEYS, F.struct("value", "unit", "matched", "confidence").alias("n")), KEYS, "left")
     told, listed = F.coalesce(F.col("raw"), F.lit("")) != "", F.coalesce(F.size("allowed") > 0, F.lit(False))
     done, boost = F.col("coerced").isNotNull(), lambda c, m: F.when(F.coalesce(m, F.lit(False)), F.greatest(c, F.lit(0.85))).otherwise(c)
     status = F.when(~told, "not_found").when(done, "found").when(listed & ~F.coalesce("n.matched", F.lit(False)), "ambiguous").when(F.col("n.value").isNull(), "not_found").otherwise("found")

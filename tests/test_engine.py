@@ -114,6 +114,19 @@ def test_resolve_from_text_and_pages(spark):
     assert got == {"Refresh rate": ("180", 0.85, "https://x.com/p"), "Panel type": ("VA", 0.85, "https://x.com/p")}
 
 
+def test_no_table_of_products_is_collected(spark):
+    """Small files may explode to many rows: no guess of sizes sends them through the driver."""
+    d = "/root/testdata/sf0.01"
+    plan = resolve.resolve_from_pool(queries.part_attrs(spark, d), queries.part_pool(spark, d))._jdf.queryExecution().executedPlan()
+    nodes, sent = [plan.initialPlan()], []
+    while nodes:
+        n = nodes.pop()
+        nodes += [n.children().apply(i) for i in range(n.children().size())]
+        if n.nodeName() == "BroadcastExchange":
+            sent.append(n.output().mkString(" "))
+    assert sent and not [x for x in sent if "product_id" in x]
+
+
 def test_claims(spark):
     t = "Panel type: VA\nWeight: 5 kg\nWeight: 5 kg"
     rows = resolve.claims_from_text(spark.createDataFrame([(1, t)], "text_id long, text string")).collect()
