@@ -36,8 +36,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and short texts fail the base rules and go; a very long text is judged whole. Rows with one id
     are one document: all are kept if one is, and rows without an id if one of those is.
     """
-    kept = cut(quality_rules.quality_rules(_slim(docs)).where("kept").select("doc_id"), "pipeline-rules")
-    return _where(docs, kept, [("doc_id", F.col("doc_id"))])
+    return quality_rules.kept_rows(docs)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import corpus_pipeline
 import duckdb
 import pytest
 
+from specloom.llm import quality_rules
 from specloom.llm import queries as llm
 
 SF = "/root/testdata/sf0.001"
@@ -60,6 +61,27 @@ def test_stages_with_repeated_rows_nulls_and_long_texts(spark):
     assert len(found) == len(rows) and all(a + n == b for (a, n), (b, _) in zip(found, found[1:], strict=False))
 
 
+def test_rules_leave_texts_where_they_are(spark):
+    """With tables too large to broadcast the same rows stay, and no text is dealt out."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id for r in quality_rules.quality_rules(docs).where("kept").collect()}
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.rules(spark, docs, SF)
+        nodes, dealt = [out._jdf.queryExecution().executedPlan().initialPlan()], []
+        while nodes:
+            n = nodes.pop()
+            nodes += [n.children().apply(i) for i in range(n.children().size())]
+            if n.nodeName() == "Exchange":
+                dealt.append(n.output().mkString(" "))
+        assert not [x for x in dealt if "text#" in x or "row#" in x]
+        rows = sorted(map(str, out.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert rows == sorted(str(r) for r in docs.collect() if r.doc_id in kept) and 0 < len(rows) < docs.count()
+
+
 def test_leaks_and_copies_go(spark):
     """Each stage against what was put in: exact and edited copies, benchmark items, verbatim and with a word changed."""
     rng = random.Random(5)
